@@ -1,8 +1,49 @@
-"""The corpus pipeline (filled in below)."""
+"""The corpus pipeline: documents go through the stages in order, each written as Parquet and read
+again by the next. A stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the
+columns of documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strataspark.llm import decontaminate, langid, minhash, mixing, sharding, store
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents in none of the known languages go."""
+    return langid.accepted(docs, *langid.training(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of near duplicates stays."""
+    return minhash.deduplicated(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: leaked benchmark passages are cut out, mostly leaked documents go."""
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents in training order along the curriculum; a source in surplus loses its
+    last documents, a scarce one repeats."""
+    return mixing.in_order(mixing.mixed(docs)).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: position and shard of each document, a shard to a partition."""
+    return sharding.written_by_shard(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixture", mixture), ("shards", shards)]
+
+# language scores, exact verification and text surgery aren't SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
