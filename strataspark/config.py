@@ -53,7 +53,7 @@ class Config:
     violations from the edges instead of the constant 0. ``reference_scope`` is the share of behaviour kept for
     parity; both switches are off by default."""
 
-    languages: tuple[str, ...] = ("typescript", "javascript", "python", "go", "rust", "java")
+    languages: tuple[str, ...] = ("go", "java", "javascript", "python", "rust", "typescript")
     roots: tuple[str, ...] = ("src",)
     exclude: tuple[str, ...] = ("node_modules", "dist", "build", "target", "vendor", ".git")
     max_commits: int = 1000

@@ -63,7 +63,7 @@ def role_order(r: Column | str) -> Column:
 
 def suffix_of(path: Column | str) -> Column:
     """``kind`` of names like ``thing.kind.ext``, else empty."""
-    return F.regexp_extract(basename(path), r"\.([a-z]+)\.[a-z]+$", 1)
+    return F.regexp_extract(basename(path), r"[.]([a-z]+)[.][a-z]+$", 1)
 
 
 def test_stem(path: Column | str) -> Column:

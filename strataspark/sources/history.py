@@ -36,7 +36,7 @@ def parse_log(lines: DataFrame, prefix: str = "", by: str | None = None) -> Data
     """
     w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     s = F.trim("line")
-    rows = lines.select("*", F.when(s.rlike("^[0-9a-f]{40}$"), s).alias("h"), F.regexp_extract(s, r"^\d+\t\d+\t(.+)$", 1).alias("p"))
+    rows = lines.select("*", F.when(s.rlike("^[0-9a-f]{40}$"), s).alias("h"), F.regexp_extract(s, r"^[0-9]+\t[0-9]+\t(\S.*)$", 1).alias("p"))
     rows = rows.withColumn("hash", F.last("h", ignorenulls=True).over(w)).where("p <> '' and hash is not null and not contains(p, '=>')")
     path = F.regexp_replace("p", r"\\", "/")
     if prefix:

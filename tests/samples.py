@@ -4,7 +4,7 @@ TYPESCRIPT = {
     "src/auth/index.ts": "export { authenticate } from './middleware.js';\nexport { verifyToken, signToken } from './jwt.js';\nexport type { JWTPayload } from './jwt.js';\n",
     "src/auth/jwt.ts": "import jwt from 'jsonwebtoken';\nimport { getConfig } from '../utils/config.js';\nexport interface JWTPayload { id: string }\nexport function signToken(p: JWTPayload) { return jwt.sign(p, getConfig().key); }\nexport function verifyToken(t: string) { return jwt.verify(t, getConfig().key); }\n",
     "src/auth/middleware.ts": "import { verifyToken } from './jwt.js';\nimport { getUserById } from '../db/index.js';\nimport type { Request } from 'express';\nexport async function authenticate(r: Request) { return getUserById(verifyToken(r.token).id); }\n",
-    "src/db/connection.ts": "import { getConfig } from '../utils/config.js';\nexport function getConnection() { return getConfig().url; }\n",
+    "src/db/connection.ts": "import { getConfig as settings } from '../utils/config.js';\nexport const getConnection = () => settings().url;\n",
     "src/db/index.ts": "export { getUserById, createUser } from './users.js';\nexport { getConnection } from './connection.js';\n",
     "src/db/users.ts": "import { getConnection } from './connection.js';\nexport function getUserById(id: string) { return [getConnection(), id]; }\nexport function createUser(name: string) { return [getConnection(), name]; }\n",
     "src/models/user.ts": "export interface User { id: string }\nexport type Role = 'a' | 'b';\n",
