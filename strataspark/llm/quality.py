@@ -8,8 +8,8 @@ whose best two-by-two cut gains most on the residuals get tables of their own, b
 A score is the intercept plus one table entry per feature and pair: additions over whole columns.
 
 Two targets are learned: ``quality`` and ``toxic``. Features are measured on the whole text: sizes, shares of
-kinds of characters, repetition of words and lines, and the weights of words in two lexicons learned
-from the sample (log-odds of the words that lean to one class).
+kinds of characters, repetition of words and lines, and the weights of words in lexicons learned
+from the sample (log-odds of the words, and of beginnings of words, that lean to one class).
 
 Defined results: null and empty texts have all features 0 and are scored like any other; labels of
 null count as unlabelled; repeated labels of a document count each time; without labels, or with one
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .textvec import Words, alpha_table, lower_table, mix, powers, slices
 
-TRAIN_ROWS, BINS, LEAVES, ROUNDS, RATE, PAIRS, PAIR_BINS, LEXICON_LEAST = 6000, 48, 4, 60, 0.15, 8, 12, 4
+TRAIN_ROWS, BINS, LEAVES, ROUNDS, RATE, PAIRS, PAIR_BINS, LEXICON_LEAST = 12000, 48, 4, 60, 0.15, 8, 12, 4
+BEGINNINGS = (3, 4, 5, 6, 7)
 
-NAMES = ("chars", "words", "word_length", "letters", "digits", "upper", "symbols", "bang", "pipe", "blank", "lines", "distinct_words", "top_word", "same_lines", "toxic_most", "toxic_rate", "bad_most", "bad_rate")
+NAMES = ("chars", "words", "word_length", "letters", "digits", "upper", "symbols", "bang", "pipe", "blank", "lines", "distinct_words", "top_word", "same_lines", "toxic_most", "toxic_rate", "bad_most", "bad_rate", "toxic_begin_most", "toxic_begin_rate")
 
 
 @dataclass
@@ -65,7 +66,17 @@ def _repeats(keys: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, n
     return different, most
 
 
-def features(texts: list[str], toxic: Lexicon, bad: Lexicon) -> np.ndarray:
+def _per_word(w: Words, lex: Lexicon) -> np.ndarray:
+    """For each word the greatest weight of one of its proper beginnings."""
+    out = np.zeros(len(w.hash))
+    if len(lex.keys):
+        for k in BEGINNINGS:
+            at, h = w.beginnings(k)
+            out[at] = np.maximum(out[at], lex.of(h))
+    return out
+
+
+def features(texts: list[str], toxic: Lexicon, bad: Lexicon, starts: Lexicon = Lexicon()) -> np.ndarray:
     """Texts x features."""
     w = Words(texts)
     cp, at, n = w.cp, w.at, len(texts)
@@ -101,20 +112,32 @@ def features(texts: list[str], toxic: Lexicon, bad: Lexicon) -> np.ndarray:
         _sums(kind == 2, at) / safe, _sums(cp == 33, at) / safe, _sums(cp == 124, at) / safe, _sums(kind == 3, at) / safe, _sums(newline, at) / some,
         different / some, most / some, 1 - line_different / np.maximum(1, line_count),
     ]
-    for lex in (toxic, bad):
-        x = lex.of(w.hash)
+    for x in (toxic.of(w.hash), bad.of(w.hash), _per_word(w, starts)):
         top = np.zeros(n)
         np.maximum.at(top, group, x)
         out += [top, _sums(x, w.first) / some]
     return np.column_stack(out)
 
 
-def lexicon(texts: list[str], y: np.ndarray, least: int = LEXICON_LEAST, lean: float = 1.0) -> Lexicon:
-    """Words whose documents lean to class 1, with smoothed log-odds as weights."""
+def _by_document(doc: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.argsort(doc, kind="stable")
+    ends = np.searchsorted(doc[order], np.arange(n + 1))
+    return [np.unique(h[order[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def lexicon(texts: list[str], y: np.ndarray, least: int = LEXICON_LEAST, lean: float = 1.0, beginnings: tuple[int, ...] = ()) -> Lexicon:
+    """Words whose documents lean to class 1, with smoothed log-odds as weights; with ``beginnings`` not
+    words but their proper beginnings of these lengths, which also tell forms that the sample doesn't have."""
     seen: list[np.ndarray] = []
     for _, run in slices(texts):
         w = Words(run)
-        seen += [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
+        if beginnings:
+            own = [w.beginnings(k) for k in beginnings]
+            at, h = np.concatenate([a for a, _ in own]), np.concatenate([x for _, x in own])
+            doc = np.searchsorted(w.first, at, side="right") - 1
+            seen += _by_document(doc, h, len(run))
+        else:
+            seen += [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
     pos, neg = ([s for s, v in zip(seen, y) if v == c] for c in (1, 0))
     if not pos or not neg:
         return Lexicon()
@@ -239,6 +262,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, leaves: int = LEAVES, ro
 class Classifier:
     toxic_words: Lexicon
     bad_words: Lexicon
+    toxic_beginnings: Lexicon
     quality: Additive
     toxic: Additive
     quality_at: float = 0.5
@@ -247,7 +271,7 @@ class Classifier:
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         good, toxic = [np.zeros(0)], [np.zeros(0)]
         for _, run in slices(texts):
-            x = features(run, self.toxic_words, self.bad_words)
+            x = features(run, self.toxic_words, self.bad_words, self.toxic_beginnings)
             good.append(self.quality.score(x))
             toxic.append(self.toxic.score(x))
         return np.concatenate(good), np.concatenate(toxic)
@@ -259,9 +283,10 @@ def train(texts: list[str], quality: np.ndarray, toxic: np.ndarray) -> Classifie
     half = np.arange(len(texts)) % 2 == 0
     pick = lambda m: [t for t, k in zip(texts, m) if k]
     toxic_words, bad_words = lexicon(pick(half), toxic[half]), lexicon(pick(half), 1 - quality[half])
+    begin = lexicon(pick(half), toxic[half], lean=1.5, beginnings=BEGINNINGS)
     other = pick(~half)
-    x = np.concatenate([features(run, toxic_words, bad_words) for _, run in slices(other)]) if other else np.zeros((0, len(NAMES)))
-    return Classifier(toxic_words, bad_words, fit(x, quality[~half]), fit(x, toxic[~half]))
+    x = np.concatenate([features(run, toxic_words, bad_words, begin) for _, run in slices(other)]) if other else np.zeros((0, len(NAMES)))
+    return Classifier(toxic_words, bad_words, begin, fit(x, quality[~half]), fit(x, toxic[~half]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -110,8 +110,16 @@ class Words:
         if n:
             np.cumsum((lower_table()[self.cp].astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
         self.hash = mix((sums[ends] - sums[starts]) * q[starts])
+        self._sums = sums
         self.first = np.searchsorted(starts, self.at)
 
+    def beginnings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words of more than k characters, and hashes of their first k."""
+        at = np.flatnonzero(self.end - self.start > k)
+        begin = self.start[at]
+        _, q = powers(len(self.cp) + 1)
+        return at, mix((self._sums[begin + k] - self._sums[begin]) * q[begin] + np.uint64(k))
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words of each text, and each text's first (one more entry than
         texts). A text of 1 to k-1 words has one shingle, all of it; without words it has none."""
