@@ -281,6 +281,7 @@ def duplicates(docs: DataFrame, **how) -> DataFrame:
     return out.where(~(out.doc_id.eqNullSafe(out.keep_id) & (out.text_hash == out.keep_hash))).select("doc_id", "text_hash", "keep_id", "keep_hash")
 
 
+@store.shielded
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, all columns kept."""
     gone = duplicates(docs, **how).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()

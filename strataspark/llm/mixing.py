@@ -68,6 +68,7 @@ def segments(schedule: Mapping[str, Sequence[tuple[float, float]]], budget: floa
     return out
 
 
+@store.shielded
 def mixed(docs: DataFrame, schedule: Mapping[str | None, Sequence[tuple[float, float]]] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, source: str = "source", digits: int = BUCKET_DIGITS) -> DataFrame:
     """``docs`` with ``n_tokens``, ``epoch`` (from 0) and ``position`` (0 to 1); a document has a row for each epoch it is used in.
 

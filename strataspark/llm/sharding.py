@@ -52,6 +52,7 @@ def bucket_offsets(df: DataFrame, group: str, bucket: str, weight: Column | None
     return totals.select(group, bucket, F.coalesce(F.sum("__held").over(w), F.lit(0)).cast("long").alias("__before"))
 
 
+@store.shielded
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, source: str = "source", digits: int = BUCKET_DIGITS) -> DataFrame:
     """``docs`` with ``position`` (from 1, in the interleaved order) and ``shard`` (from 0).
 

@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,22 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let extra columns of the input have any names: those that begin with ``__``, as the operators' own columns
+    do, get others on the way in and their own back on the way out."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        clash = [c for c in docs.columns if c.startswith("__")]
+        if not clash:
+            return operator(docs, *args, **how)
+        inner = dict(zip(clash, unused(docs, *[f"shield{i}" for i in range(len(clash))])))
+        out = operator(docs.withColumnsRenamed(inner), *args, **how)
+        return out.withColumnsRenamed({v: k for k, v in inner.items() if v in out.columns})
+
+    return run
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that don't clash with those of ``df`` (compared without case)."""
     taken, out = {c.lower() for c in df.columns}, []
