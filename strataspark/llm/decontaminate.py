@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import Words, mix, slices
+from .textvec import Words, mix, release, slices
 
 MIN_WORDS, ITEM_COVER, FLOOR_WORDS, DOC_COVER, PART_WORDS = 8, 0.8, 5, 0.6, 2_000_000
 BITS = 22
@@ -236,6 +236,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, i
                         b = b.set_column(chars, b.schema.field(chars), pa.array(n_chars, b.schema.field(chars).type))
                     b = b.filter(pa.array(keep))
                 yield b
+                release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

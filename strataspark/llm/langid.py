@@ -23,6 +23,7 @@ alone.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textvec import alpha_table, code_points, lower_table, slices
+from .textvec import alpha_table, code_points, lower_table, release, slices
 
 BLOCK, TRAIN_CHARS, TRAIN_DOCS, HELD_DOCS, MIN_LETTERS, REJECT_SHARE = 256, 30_000, 150, 60, 60, 0.8
 
@@ -48,34 +49,38 @@ def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], kept[at]
 
 
-def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton of ``text``; state 0 is the root."""
-    goto: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
+    """Transitions (states x width, -1 for none) of the suffix automaton of codes below ``width``; state 0 is the root.
+
+    One flat array grows with the text; dictionaries for the states would take many times its memory.
+    """
+    most = 2 * len(text) + 1
+    goto, link, length, last, size = array("i", [-1]) * (most * width), array("i", [-1]) * most, array("i", [0]) * most, 0, 1
     for c in text.tolist():
-        new = len(goto)
-        goto.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        new = size
+        size += 1
+        length[new] = length[last] + 1
         p = last
-        while p != -1 and c not in goto[p]:
-            goto[p][c] = new
+        while p != -1 and goto[p * width + c] == -1:
+            goto[p * width + c] = new
             p = link[p]
-        if p != -1:
-            q = goto[p][c]
+        if p == -1:
+            link[new] = 0
+        else:
+            q = goto[p * width + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                clone = len(goto)
-                goto.append(dict(goto[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p != -1 and goto[p].get(c) == q:
-                    goto[p][c] = clone
+                clone = size
+                size += 1
+                goto[clone * width : (clone + 1) * width] = goto[q * width : (q + 1) * width]
+                link[clone], length[clone] = link[q], length[p] + 1
+                while p != -1 and goto[p * width + c] == q:
+                    goto[p * width + c] = clone
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    return goto
+    return np.frombuffer(goto, np.int32)[: size * width].reshape(size, width)
 
 
 BREAK = np.int32(1 << 30)
@@ -94,11 +99,8 @@ class Model:
         code[letters] = np.arange(1, len(letters) + 1)
         self.code, self.pad, tables, base, self.roots, self.bits = code, width - 1, [], 0, [], []
         for text in texts:
-            goto = suffix_automaton(code[text])
-            t = np.full((len(goto), width), -1, np.int32)
-            for s, row in enumerate(goto):
-                for c, to in row.items():
-                    t[s, c] = (base + to) * width
+            goto = suffix_automaton(code[text], width)
+            t = np.where(goto < 0, np.int32(-1), (base + goto) * np.int32(width)).astype(np.int32)
             # where no match goes on, a phrase begins: with a character never seen it also ends, in state 0
             begin = np.where(t[0] < 0, base * width, t[0]) | BREAK
             t = np.where(t < 0, begin[None, :], t)
@@ -223,6 +225,7 @@ def identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: flo
         for b in batches:
             langs, best, margin, keep = _decide(model, b.column(2).to_pylist(), limit)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(best), pa.array(margin), pa.array(keep)], names=["doc_id", "lang", "language", "bits", "margin", "keep"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, language string, bits double, margin double, keep boolean")
 
@@ -236,6 +239,7 @@ def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: float
         for b in batches:
             keep = _decide(model, b.column(at).to_pylist(), limit)[3]
             yield b.filter(pa.array(keep))
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 

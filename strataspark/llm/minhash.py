@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .textvec import Words, mix, powers, slices
+from .textvec import Words, mix, powers, release, slices
 
 K, BANDS, ROWS, THRESHOLD, MISS, BATCH, BLOCK = 3, 32, 4, 0.55, 0.005, 16, 2048
 
@@ -95,6 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
                 ],
                 names=["doc_id", "text_hash", "node", "sig", "bands"],
             )
+        release()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -168,6 +169,7 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
             if both >= threshold * (len(x) + len(y) - both) - 1e-9:
                 good.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+        release()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
