@@ -1,7 +1,8 @@
 """Operators on the dependency graph: ``edges(src, dst, ...)`` and ``nodes(id, label, type)``.
 
 Loops run as many rounds as the graph is deep, each written to the shared folder, and only look at what the round
-before changed. Order that another engine takes from insertion is by name here.
+before changed. A graph of at most ``LOCAL_EDGES`` edges, which is counted first, is walked in memory instead, with
+the same results. Order that another engine takes from insertion is by name here.
 """
 
 from __future__ import annotations
@@ -9,10 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.operators import smallgraph
 from strataspark.operators.resolve import package_name
 from strataspark.plans.tables import cut, first
 
 
+LOCAL_EDGES = 20_000
+
+
+def _in_memory(edges: DataFrame, most: int | None = None) -> list[tuple[str, str, int]] | None:
+    """(src, dst, ord) of the edges where there are few enough, else None: one job that stops counting at the bound."""
+    most = LOCAL_EDGES if most is None else most
+    rows = edges.select("src", "dst", (F.col("ord") if "ord" in edges.columns else F.lit(0)).alias("ord")).where("src is not null and dst is not null").limit(most + 1).collect()
+    return None if len(rows) > most else [(r.src, r.dst, r.ord) for r in rows]
+
+
 def build_edges(imports: DataFrame) -> DataFrame:
     """Edges of resolved imports: weight, references, and the type of the first import; self-edges stay."""
     ref = F.struct(F.col("path").alias("file"), "line", F.coalesce(F.get("specifiers", F.lit(0)), F.lit("*")).alias("symbol"))
@@ -65,6 +77,12 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def transitive_impact(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, impact): how many other nodes reach it; 0 for those of ``nodes`` that none reaches."""
+    few = _in_memory(edges)
+    if few is not None:
+        reached = edges.sparkSession.createDataFrame(list(smallgraph.impact(few).items()), "node string, impact long")
+        if nodes is None:
+            return reached
+        return nodes.select("node").distinct().join(reached, "node", "left").select("node", F.coalesce("impact", F.lit(0)).cast("long").alias("impact"))
     reached = closure(edges).where("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("impact"))
     if nodes is None:
         nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -87,6 +105,9 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles: those that reach one another share the least of their names."""
+    few = _in_memory(edges)
+    if few is not None:
+        return edges.sparkSession.createDataFrame(list(smallgraph.components(few).items()), "node string, component string")
     reach = cut(closure(cyclic_core(edges)), "reach")
     back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
@@ -95,6 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(component, files, length): of each strongly connected component a shortest cycle through its least
     node, of equal ones the least; ``files`` ends with the node it begins with."""
+    few = _in_memory(edges)
+    if few is not None:
+        return edges.sparkSession.createDataFrame(smallgraph.cycles(few), "component string, files array<string>, length int")
     core = cyclic_core(edges)
     c = cut(components(core), "scc")
     inside = core.join(c.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd").select(F.col("cs").alias("component"), "src", "dst")
@@ -128,6 +152,9 @@ def longest_chains(edges: DataFrame) -> DataFrame:
     Edges on cycles are left out, so that every chain is simple; of equally long chains the one imported first
     counts, then the one with the least next node. Each round relaxes only the predecessors of nodes whose chains grew.
     """
+    few = _in_memory(edges)
+    if few is not None:
+        return edges.sparkSession.createDataFrame([(n, k, m) for n, (k, m) in smallgraph.longest(few).items()], "node string, length int, next string")
     e = cut(acyclic(edges), "dag")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     best = cut(nodes.select("node", F.lit(1).alias("length")), "chains")
@@ -151,6 +178,16 @@ def critical_paths(edges: DataFrame, most: int = 10, least: int = 3) -> DataFram
     walk = cut(top.select("length", F.array("node").alias("files"), "next"), "paths")
     steps = walk.agg(F.max("length")).first()[0] or 0
     following = chains.select(F.col("node").alias("next"), F.col("next").alias("after"))
+    rows = walk.collect() if chains.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES else None
+    if rows is not None:
+        onward = {r.node: r.next for r in chains.select("node", "next").collect()}
+        found = []
+        for r in rows:
+            files = list(r.files)
+            while onward.get(files[-1]) is not None:
+                files.append(onward[files[-1]])
+            found.append((files, r.length, files[-1], files[0]))
+        return edges.sparkSession.createDataFrame(found, "files array<string>, length int, root_file string, leaf_file string")
     for _ in range(steps - 1):
         walk = walk.join(following, "next", "left").select("length", F.when(F.col("next").isNull(), F.col("files")).otherwise(F.concat("files", F.array("next"))).alias("files"), F.col("after").alias("next"))
     return walk.select("files", F.col("length").cast("int").alias("length"), F.element_at("files", -1).alias("root_file"), F.element_at("files", 1).alias("leaf_file"))
@@ -158,6 +195,10 @@ def critical_paths(edges: DataFrame, most: int = 10, least: int = 3) -> DataFram
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(level, node): peel off what nothing left depends on, from level 1; what is on cycles comes last together."""
+    few = _in_memory(edges)
+    some = nodes.select("node").distinct().limit(LOCAL_EDGES + 1).collect() if few is not None else []
+    if few is not None and len(some) <= LOCAL_EDGES:
+        return edges.sparkSession.createDataFrame(smallgraph.layers([r.node for r in some], few), "level int, node string")
     left = cut(nodes.select("node").distinct(), "layer")
     e = cut(edges.select("src", "dst").where("src <> dst").distinct().join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "layer")
     out, level = None, 1
