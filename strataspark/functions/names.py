@@ -37,14 +37,10 @@ def resource_name(path: Column | str, chains: bool = True) -> Column:
     core = F.regexp_replace(name, _VERB, "")
     core = F.regexp_replace(core, f"(?i)({_PARTS}{'|Layout' if chains else ''})$", "")
     core = F.trim(F.lower(F.regexp_replace(core, _SNAKE, "")))
-    one = (
-        F.when(core.endswith("ies"), F.concat(F.regexp_replace(core, "ies$", ""), F.lit("y")))
-        .when(core.endswith("ses"), F.regexp_replace(core, "es$", ""))
-        .when(core.endswith("s") & ~core.endswith("ss"), F.regexp_replace(core, "s$", ""))
-        .otherwise(core)
-    )
+    # one chain of replacements, each used once, so that no expression is copied; "|" keeps the s of "ses" from the last one
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "ies$", "y"), "ses$", "s|"), r"(?<!s)s$|\|$", "")
     stop = sorted(_STOP_CHAINS if chains else _STOP)
-    return F.when(~F.lower(name).isin(*stop) & (F.length(one) >= 3), one)
+    return F.when(~F.lower(name).isin(*stop), F.get(F.filter(F.array(one), lambda x: F.length(x) >= 3), F.lit(0)))
 
 
 def role(path: Column | str, chains: bool = True) -> Column:

@@ -7,6 +7,8 @@ detector.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +163,13 @@ def ordered(found: DataFrame) -> DataFrame:
 
 
 def all_insights(risks: DataFrame, critical: DataFrame, modules: DataFrame, edges: DataFrame, cycles: DataFrame, chains: DataFrame, links: DataFrame, contracts: DataFrame, files: DataFrame, fan: DataFrame, used: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    parts = [
-        single_points(risks, files, t), high_fan_out(edges, t), god_modules(modules, files, t), long_chains(critical, t), bottlenecks(risks, files, t), untested(risks), circular(cycles, t), dead_modules(risks, edges),
-        hubs(risks, edges, t), unstable_cores(fan, t), incomplete_chains(chains), orphan_endpoints(risks, links), hotspots(risks, t), hidden_coupling(contracts, edges, links, t), over_exposed(modules, used, t), concentration(risks, files, t),
+    makers = [
+        lambda: single_points(risks, files, t), lambda: high_fan_out(edges, t), lambda: god_modules(modules, files, t), lambda: long_chains(critical, t), lambda: bottlenecks(risks, files, t), lambda: untested(risks),
+        lambda: circular(cycles, t), lambda: dead_modules(risks, edges), lambda: hubs(risks, edges, t), lambda: unstable_cores(fan, t), lambda: incomplete_chains(chains), lambda: orphan_endpoints(risks, links),
+        lambda: hotspots(risks, t), lambda: hidden_coupling(contracts, edges, links, t), lambda: over_exposed(modules, used, t), lambda: concentration(risks, files, t),
     ]
+    with ThreadPoolExecutor(8) as pool:  # building a plan is mostly waiting for the JVM
+        parts = list(pool.map(lambda make: make(), makers))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,35 +35,39 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
     deps = cut(modules.module_deps(members, edges, imports, config.resolve_absolute), "deps")
     api = cut(modules.public_api(members, extract.exports(results)), "api")
     mods = cut(modules.modules(members, api, deps, modules.external_deps(members, imports)), "modules")
-    layers = modules.module_layers(mods, deps)
-
-    contracts = spark.createDataFrame([], EMPTY_CONTRACTS)
+    empty = spark.createDataFrame([], EMPTY_CONTRACTS)
     if commit_files is not None:
         commit_files = cut(commit_files, "commits")
-        contracts = cut(cochange.contracts(commit_files, config.min_confidence, t.contract_most, t.bulk_files, t.least_commits), "contracts")
+    contracts = cut(cochange.contracts(commit_files, config.min_confidence, t.contract_most, t.bulk_files, t.least_commits), "contracts") if commit_files is not None else empty
 
-    found = signals.static_signals(own, mods, deps, members, edges, t.fan_in_signal)
-    if commit_files is not None:
-        found = found.union(signals.from_contracts(contracts)).union(signals.change_frequency(commit_files, members, mods, deps, t.busy_share, t.fan_in_signal))
-    if diff_lines is not None:
-        found = found.union(signals.from_removed(cochange.removed_imports(diff_lines)))
-    if config_signals is not None:
-        found = found.union(config_signals)
-    pattern, from_pattern = patterns.detect(mods, deps)
-    found = cut(found.union(signals.cross_stack(own)).union(from_pattern), "signals")
-    ruled = rules.with_trends(rules.combine(found, now), previous_rules)
-    ruled = rules.with_overrides(ruled, config.rule_overrides)
-    if manual is not None:
-        ruled = manual.unionByName(ruled)
-    if config.check_violations:
-        ruled = rules.with_violations(ruled, deps)
-    ruled = cut(ruled, "rules")
+    def rule_table() -> tuple:
+        found = signals.static_signals(own, mods, deps, members, edges, t.fan_in_signal)
+        if commit_files is not None:
+            found = found.union(signals.from_contracts(contracts)).union(signals.change_frequency(commit_files, members, mods, deps, t.busy_share, t.fan_in_signal))
+        if diff_lines is not None:
+            found = found.union(signals.from_removed(cochange.removed_imports(diff_lines)))
+        if config_signals is not None:
+            found = found.union(config_signals)
+        pattern, from_pattern = patterns.detect(mods, deps)
+        found = cut(found.union(signals.cross_stack(own)).union(from_pattern), "signals")
+        ruled = rules.with_trends(rules.combine(found, now), previous_rules)
+        ruled = rules.with_overrides(ruled, config.rule_overrides)
+        if manual is not None:
+            ruled = manual.unionByName(ruled)
+        if config.check_violations:
+            ruled = rules.with_violations(ruled, deps)
+        return pattern, found, cut(ruled, "rules")
+
+    def risk_table() -> tuple:
+        critical = cut(graph.critical_paths(edges, t.chain_most, t.chain_least), "critical")
+        impact = graph.transitive_impact(edges, own.select(F.col("path").alias("node")))
+        return critical, cut(risk.file_risks(all_files, impact, graph.fan_in(edges), critical, change_frequency), "risks")
 
-    impact = graph.transitive_impact(edges, own.select(F.col("path").alias("node")))
-    critical = cut(graph.critical_paths(edges, t.chain_most, t.chain_least), "critical")
-    risks = cut(risk.file_risks(all_files, impact, graph.fan_in(edges), critical, change_frequency), "risks")
-    links = cut(chains.chain_links(own), "links")
-    insight = cut(insights.all_insights(risks, critical, mods, edges, graph.cycles(edges), chains.chains(links), links, contracts, own, signals.module_fan(mods, deps), signals.used_symbols(members, edges), t), "insights")
+    # branches that need nothing of one another are planned and run side by side
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(f) for f in (rule_table, risk_table, lambda: modules.module_layers(mods, deps), lambda: (cut(chains.chain_links(own), "links"), graph.cycles(edges)))]
+        (pattern, found, ruled), (critical, risks), layers, (links, cycles) = (j.result() for j in jobs)
+    insight = cut(insights.all_insights(risks, critical, mods, edges, cycles, chains.chains(links), links, contracts, own, signals.module_fan(mods, deps), signals.used_symbols(members, edges), t), "insights")
     return {
         "files": all_files, "parsed": everything, "parsing_stats": extract.parsing_stats(everything), "imports": imports, "edges": edges, "nodes": graph.module_nodes(mods, external), "file_nodes": graph.build_nodes(own, edges, external),
         "members": members, "module_deps": deps, "module_exports": api, "modules": mods, "layers": layers, "contracts": cochange.with_ids(contracts), "signals": found,
