@@ -34,8 +34,8 @@ def ignore_regex(pattern: str) -> str | None:
     directory, p = p.endswith("/"), p.rstrip("/")
     anchored, p = "/" in p, p.lstrip("/")
     out = []
-    for part in re.split(r"(\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", p):
-        out.append({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.escape(part)))
+    for part in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", p):
+        out.append({"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.escape(part)))
     return ("^" if anchored else "(?:^|/)") + "".join(out) + ("/" if directory else "(?:/|$)")
 
 
