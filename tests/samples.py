@@ -8,7 +8,7 @@ TYPESCRIPT = {
     "src/db/index.ts": "export { getUserById, createUser } from './users.js';\nexport { getConnection } from './connection.js';\n",
     "src/db/users.ts": "import { getConnection } from './connection.js';\nexport function getUserById(id: string) { return [getConnection(), id]; }\nexport function createUser(name: string) { return [getConnection(), name]; }\n",
     "src/models/user.ts": "export interface User { id: string }\nexport type Role = 'a' | 'b';\n",
-    "src/routes/auth.routes.ts": "import { signToken } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const authRoutes = [signToken, getUserById];\n",
+    "src/routes/auth.routes.ts": "import { signToken as sign } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const authRoutes = [sign, getUserById];\n",
     "src/routes/index.ts": "export { userRoutes } from './users.routes.js';\nexport { authRoutes } from './auth.routes.js';\n",
     "src/routes/users.routes.ts": "import { authenticate } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const userRoutes = [authenticate, getUserById];\n",
     "src/utils/config.ts": "export function getConfig() { return { key: 'k', url: 'u' }; }\n",
