@@ -10,7 +10,7 @@ TYPESCRIPT = {
     "src/models/user.ts": "export interface User { id: string }\nexport type Role = 'a' | 'b';\n",
     "src/routes/auth.routes.ts": "import { signToken as sign } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const authRoutes = [sign, getUserById];\n",
     "src/routes/index.ts": "export { userRoutes } from './users.routes.js';\nexport { authRoutes } from './auth.routes.js';\n",
-    "src/routes/users.routes.ts": "import { authenticate } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const userRoutes = [authenticate, getUserById];\n",
+    "src/routes/users.routes.ts": "import { authenticate as guard } from '../auth/index.js';\nimport { getUserById } from '../db/index.js';\nexport const userRoutes = [guard, getUserById];\n",
     "src/utils/config.ts": "export function getConfig() { return { key: 'k', url: 'u' }; }\n",
 }
 PYTHON = {
@@ -25,7 +25,7 @@ PYTHON = {
     "app/utils/config.py": "DEBUG = True\n\ndef get_config():\n    return DEBUG\n",
 }
 GO = {
-    "cmd/main.go": 'package main\n\nimport (\n\t"fmt"\n\t"net/http"\n\t"github.com/example/myapp/pkg/auth"\n\t"github.com/example/myapp/pkg/handlers"\n)\n\nfunc main() { fmt.Println(auth.Sign(), handlers.Router(), http.StatusOK) }\n',
+    "cmd/main.go": 'package main\n\nimport (\n\t"net/http"\n\t"fmt"\n\t"github.com/example/myapp/pkg/auth"\n\t"github.com/example/myapp/pkg/handlers"\n)\n\nfunc main() { fmt.Println(auth.Sign(), handlers.Router(), http.StatusOK) }\n',
     "pkg/auth/auth.go": 'package auth\n\nimport "crypto/hmac"\n\nconst Secret = "s"\n\ntype Token struct {\n\tID string\n}\n\nfunc Verify(t Token) bool { return true }\n\nfunc Sign() string { return internalHelper() }\n\nfunc internalHelper() string { return Secret }\n',
     "pkg/db/db.go": 'package db\n\nimport "database/sql"\n\nfunc Open() *sql.DB { return nil }\n',
     "pkg/handlers/router.go": 'package handlers\n\nimport (\n\t"encoding/json"\n\t"github.com/example/myapp/pkg/auth"\n\t"github.com/example/myapp/pkg/db"\n)\n\nfunc Router() string { return "" }\n',

@@ -34,7 +34,7 @@ def test_paths(spark):
 def test_names(spark):
     got = one(spark, names.resource_name("p"), ["src/hooks/useOrders.ts", "app/services/crew_service.py", "pages/CitiesPage.tsx", "a/buses.py", "a/index.ts", "a/class.py", "a/ab.py", "x/users.routes.ts", "a/MainLayout.tsx"])
     assert got == ["order", "crew_", "city", "bus", None, "class", None, "rs.", "main"]
-    assert one(spark, names.resource_name("p", False), ["a/router.py", "a/MainLayout.tsx"]) == ["router", "mainlayout"] and one(spark, names.resource_name("p"), ["a/router.py"]) == [None]
+    assert one(spark, names.resource_name("p", False), ["a/database.py", "a/MainLayout.tsx"]) == ["database", "mainlayout"] and one(spark, names.resource_name("p"), ["a/database.py"]) == [None]
     assert one(spark, names.role("p"), ["a/models/x.py", "a/API/x.py", "a/dto/x.py", "x/tests/y.py", "b/x.py"]) == ["model", "api", "schema", "test", "other"]
 
 
