@@ -50,8 +50,7 @@ class Thresholds:
 class Config:
     """Options of a scan. ``resolve_absolute`` also resolves imports that parity mode leaves unresolved: Go packages
     of the project, and absolute imports when module dependencies are derived. ``check_violations`` counts rule
-    violations from the edges instead of the constant 0. ``reference_scope`` is the share of behaviour kept for
-    parity; both switches are off by default."""
+    violations from the edges instead of the constant 0. Both are off by default."""
 
     languages: tuple[str, ...] = ("go", "java", "javascript", "python", "rust", "typescript")
     roots: tuple[str, ...] = ("src",)

@@ -23,7 +23,7 @@ def prefix_of(root: str) -> str:
 
 
 def log_lines(spark: SparkSession, root: str, most: int = 1000) -> DataFrame | None:
-    """(ord, line) of the log with changed files; None outside a repository. The text goes through a file in the shared folder."""
+    """(ord, line) of the log with changed files; None outside a repository."""
     text = _git(root, "log", f"--max-count={int(most)}", "--numstat", "--format=%H")
     return None if text is None else spark.createDataFrame(list(enumerate(text.splitlines())), "ord long, line string")
 
