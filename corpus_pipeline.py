@@ -5,6 +5,7 @@ columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataspark.llm import decontaminate, langid, minhash, mixing, sharding, store
 
@@ -27,7 +28,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents in training order along the curriculum; a source in surplus loses its
     last documents, a scarce one repeats."""
-    return mixing.in_order(mixing.mixed(docs)).select(*docs.columns)
+    # columns that the operator would replace keep their values under other names meanwhile
+    own = dict(zip(clash := [c for c in docs.columns if c.lower() in mixing.ADDED], store.unused(docs, *[f"kept{i}" for i in range(len(clash))])))
+    out = mixing.in_order(mixing.mixed(docs.withColumnsRenamed(own)))
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

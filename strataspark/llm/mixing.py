@@ -30,6 +30,7 @@ from . import store
 from .sharding import BUCKET_DIGITS, bucket_offsets, bucketed_running, seeded, stratum
 
 SEED, MAX_EPOCHS = "strata-5", 4
+ADDED = ("n_tokens", "epoch", "position")
 WORD = r"[^ \t\n\r\f]+"
 
 
@@ -74,7 +75,7 @@ def mixed(docs: DataFrame, schedule: Mapping[str | None, Sequence[tuple[float, f
 
     Columns of ``docs`` with these names are replaced. The rows come unsorted, see :func:`in_order`.
     """
-    docs = docs.drop("n_tokens", "epoch", "position")
+    docs = docs.drop(*ADDED)
     g, h, b, c = store.unused(docs, "__g", "__h", "__b", "__c")
     light = docs.select("doc_id", source, "text").select(stratum(source).alias(g), F.substring(seeded(seed), 1, digits).alias(b), words("text").alias("n_tokens")).where("n_tokens > 0")
     held_by_bucket = store.cut(light.groupBy(g, b).agg(F.sum("n_tokens").alias("n")), "tokens")

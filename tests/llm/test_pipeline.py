@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -43,6 +44,33 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_documents(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns named like those of the operators."""
+    good = "the quick brown fox jumps over a lazy dog while many people watch from their houses near a river number "
+    rows = [(i, good + " ".join(f"w{i}x{j}" for j in range(30)), "en", f"s{i % 3}", 1) for i in range(30)]
+    rows += [(100, None, "en", "s0", 0), (101, "", "en", None, 0), (None, good + "alone here", "en", "s1", None), (102, "word " * 60_000 + "end", None, "s2", 9), (103, rows[0][1], "en", "s0", 1), (104, "!!!", "en", "s1", 3)]
+    rows += [rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("position", "epoch", "__g", "keep", "component", "spans"):
+        docs = docs.withColumn(c, F.concat(F.lit("mine-"), F.col("doc_id").cast("string")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    item = " ".join(f"w7x{j}" for j in range(20))
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name != "shards":
+            assert out.columns == docs.columns, name
+        kept = out.collect()
+        for r in kept:
+            assert all(r[c] == (None if r.doc_id is None else f"mine-{r.doc_id}") for c in ("epoch", "__g", "keep", "component", "spans")), name
+        now = spark.createDataFrame(kept, out.schema)
+    ids = [r.doc_id for r in kept]
+    assert len(set(ids) & set(range(30))) >= 25
+    assert 103 not in ids and 100 not in ids and 101 not in ids
+    assert all(item not in r.text for r in kept) and sorted(r.position for r in kept) == list(range(1, len(kept) + 1))
+
+
 def test_entry():
     names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(re.match(rf"op{n}_", q) for q in names)] == [] and "pipeline" in names
