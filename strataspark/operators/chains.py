@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions import names
-from strataspark.plans.tables import first
 
 
 def named(files: DataFrame, chains: bool = True) -> DataFrame:
@@ -42,8 +41,3 @@ def consecutive(links: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("resource").orderBy("role_ord")
     return links.select("resource", F.col("file").alias("file_a"), F.lead("file").over(w).alias("file_b")).where("file_b is not null")
-
-
-def first_of_role(files: DataFrame) -> DataFrame:
-    rows = named(files)
-    return rows.withColumn("r", first(F.col("file"), "resource", "role")).where("r = 1").drop("r")

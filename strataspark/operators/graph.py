@@ -212,12 +212,3 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = cut(e.join(now.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "layer")
         level += 1
     return out if out is not None else nodes.select(F.lit(1).alias("level"), "node").limit(0)
-
-
-def top_nodes(scores: DataFrame, score: str, k: int) -> DataFrame:
-    return scores.orderBy(F.desc(score), "node").limit(k)
-
-
-def first_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each source, the heaviest, then the least target."""
-    return edges.withColumn("r", first(F.struct((-F.col("weight")).alias("w"), "dst"), "src")).where("r = 1").drop("r")

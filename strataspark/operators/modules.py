@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import paths
 from strataspark.operators.resolve import package_name
-from strataspark.plans.tables import first
 
 
 def module_id(path: Column | str, roots: tuple[str, ...]) -> Column:
@@ -72,7 +71,3 @@ def module_layers(mods: DataFrame, deps: DataFrame) -> DataFrame:
 
     found = layers(mods.select(F.col("id").alias("node")), deps.select(F.col("module").alias("src"), F.col("dep").alias("dst")))
     return found.select("level", F.concat(F.lit("layer-"), "level").alias("layer"), F.col("node").alias("module"))
-
-
-def first_per_group(df: DataFrame, group: str, order: Column) -> DataFrame:
-    return df.withColumn("__r", first(order, group)).where("__r = 1").drop("__r")
