@@ -150,14 +150,35 @@ def longest_chains(edges: DataFrame) -> DataFrame:
     """(node, length, next): nodes of the longest chain that begins at each node, and its second node.
 
     Edges on cycles are left out, so that every chain is simple; of equally long chains the one imported first
-    counts, then the one with the least next node. Each round relaxes only the predecessors of nodes whose chains grew.
+    counts, then the one with the least next node.
     """
     few = _in_memory(edges)
     if few is not None:
         return edges.sparkSession.createDataFrame([(n, k, m) for n, (k, m) in smallgraph.longest(few).items()], "node string, length int, next string")
-    e = cut(acyclic(edges), "dag")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    best = cut(nodes.select("node", F.lit(1).alias("length")), "chains")
+    e = cut(edges.groupBy("src", "dst").agg((F.min("ord") if "ord" in edges.columns else F.lit(0)).alias("ord")), "chains")
+    # what uses nothing has chains of 1; what then uses nothing that is left, of 2; and so on
+    left, open_, best, k = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "chains"), e, None, 1
+    while not left.isEmpty():
+        ends = cut(left.join(open_.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("length")), "chains")
+        if ends.isEmpty():
+            break
+        best = ends if best is None else best.union(ends)
+        left = cut(left.join(ends, "node", "left_anti"), "chains")
+        open_ = cut(open_.join(ends.select(F.col("node").alias("dst")), "dst", "left_anti"), "chains")
+        k += 1
+    if not left.isEmpty():  # these lie on cycles or lead to them
+        e = cut(acyclic(e), "dag")
+        best = _relaxed(e, left if best is None else best.select("node").union(left), best)
+    if best is None:
+        return left.select("node", F.lit(1).alias("length"), F.lit(None).cast("string").alias("next"))
+    after = e.join(best.select(F.col("node").alias("dst"), "length"), "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("length")).alias("l"), "ord", "dst")).alias("m"))
+    return best.join(after, "node", "left").select("node", "length", F.col("m.dst").alias("next"))
+
+
+def _relaxed(e: DataFrame, nodes: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(node, length) of the longest chains of an acyclic graph: rounds relax the predecessors of nodes whose chains grew."""
+    best = nodes.select("node", F.lit(1).alias("length")) if known is None else nodes.join(known, "node", "left").select("node", F.coalesce("length", F.lit(1)).alias("length"))
+    best = cut(best, "chains")
     grew = best
     while True:
         longer = e.join(grew.select(F.col("node").alias("dst"), "length"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("length") + 1).alias("now"))
@@ -165,9 +186,7 @@ def longest_chains(edges: DataFrame) -> DataFrame:
         grew = both.where("grew").select("node", "length")
         best = both.select("node", "length")
         if grew.isEmpty():
-            break
-    after = e.join(best.select(F.col("node").alias("dst"), "length"), "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("length")).alias("l"), "ord", "dst")).alias("m"))
-    return best.join(after, "node", "left").select("node", "length", F.col("m.dst").alias("next"))
+            return best
 
 
 def critical_paths(edges: DataFrame, most: int = 10, least: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataspark.config import Config
 from strataspark.operators import chains, cochange, graph, health, insights, modules, patterns, resolve, risk, rules, signals
-from strataspark.plans.tables import cut
+from strataspark.plans.tables import cut, tuned
 from strataspark.sources import extract, files, history, project
 
 EMPTY_CONTRACTS = "file_a string, file_b string, occurrences long, confidence double"
@@ -78,13 +78,15 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
 
 def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_history: bool = True, previous_rules: DataFrame | None = None, strict_ast: bool = False) -> dict[str, DataFrame]:
     """Scan the project at ``root``. History is an explicit input, as is the snapshot of earlier rules."""
-    catalogue = files.discover(spark, root, config)
+    names = files.listing(root, config)
+    catalogue = files.discover(spark, root, config, names)
     commits = history.commit_files(spark, root, config.max_commits) if use_history else None
     diffs = history.diff_lines(spark, root, min(config.max_commits, 500)) if use_history else None
-    out = analyse(
-        catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
-        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)),
-    )
+    with tuned(spark, len(names)):
+        out = analyse(
+            catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
+            go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)),
+        )
     if strict_ast:
         extract.assert_ast(out["parsed"])
     return out

@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+@contextmanager
+def tuned(spark: SparkSession, rows: int, few: int = 2_000):
+    """For inputs of at most ``few`` rows: two shuffle partitions and plans that aren't revised at run time, whose overhead
+    is then all there is to save. Larger inputs, and what runs afterwards, have the session's own settings."""
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"} if rows <= few else {}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back."""
     spark = df.sparkSession

@@ -98,9 +98,9 @@ def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "content"])
 
 
-def discover(spark: SparkSession, root: str, config: Config = Config(), files_per_task: int = 512) -> DataFrame:
+def discover(spark: SparkSession, root: str, config: Config = Config(), names: list[str] | None = None, files_per_task: int = 512) -> DataFrame:
     """Source files below ``root``: names are listed on the driver, contents read by the executors; unreadable files are dropped."""
-    names = listing(root, config)
+    names = listing(root, config) if names is None else names
     tasks = max(1, -(-len(names) // files_per_task))
     raw = spark.createDataFrame([(n,) for n in names], "path string").repartition(tasks, "path").mapInArrow(lambda it: _contents(it, root), "path string, content string")
     where = local(root)
