@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": html.op4_html,
     "op5_mixing": mixing.op5_mixing,
     "op6_urls": urls.op6_urls,
+    "op6_urls_domains": urls.op6_urls_domains,
     "op7_minhash": minhash.op7_minhash,
     "op8_winnow": winnow.op8_winnow,
     "op9_decontaminate": decontaminate.op9_decontaminate,

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import files, store
 
 FILE_ENTRIES = 1_000_000
+#: Domains of gambling, advertising, spam, pharmacy and adult sites; chosen by hand from the host names of the given pages.
+LISTED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 
 
 def canonical(url: Column) -> Column:
@@ -154,6 +156,16 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(pages, bad_urls(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def blocklist(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``LISTED`` domains, which block all their hosts, besides the URLs and hosts of :func:`bad_urls`."""
+    return bad_urls(pages, labels).union(pages.sparkSession.createDataFrame([(d,) for d in LISTED], "entry string"))
+
+
+def op6_urls_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filtered(pages, blocklist(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 OP6_SQL = """
 WITH r AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
 h AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_extract(rest, '^([^/?]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')) AS host, regexp_replace(rest, '^[^/?]*', '') AS tail FROM r),

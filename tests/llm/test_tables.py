@@ -266,6 +266,14 @@ def test_url_filter(spark, monkeypatch):
     assert not any(r.blocked for r in urls.filtered(pages, block.limit(0)).collect()) and urls.filtered(pages.limit(0), block).count() == 0
 
 
+def test_blocklist_has_domains_and_urls(spark, tmp_path):
+    rows = [(1, "http://m.casino-win.example.com/de/1"), (2, "http://SPAM-farm.example.org:80/x?y=1"), (3, "http://good.example.com/de/7.html"), (4, "http://good.example.com/de/8"), (5, "http://nocasino-win.example.com/9"), (6, "http://good.example.com/de/10")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.entry for r in urls.op6_urls_domains(spark, str(tmp_path)).collect()}
+    assert got == {1: "casino-win.example.com", 2: "spam-farm.example.org", 3: "good.example.com/de/7.html", 4: None, 5: None, 6: None}
+
+
 def test_colliding_digests_are_told_apart(tmp_path):
     strings = sorted(["one", "two", "three"], key=xxhash.xxh64_intdigest)
     key = np.array([xxhash.xxh64_intdigest("other")] * 3, np.uint64).view(np.int64)
