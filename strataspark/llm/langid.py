@@ -9,7 +9,8 @@ own, so that all blocks of a batch advance together in numpy, one character a st
 
 Text is normalised first: lower case, each character that isn't a letter becomes a blank, and runs
 of blanks become one. Training takes ``TRAIN_CHARS`` normalised characters a language from at most
-``TRAIN_DOCS`` whole labelled documents of it (those of least hash of doc_id), the documented bound
+``TRAIN_DOCS`` whole labelled documents of it (those of least hash of doc_id; where the ones of at most
+a fifth of ``TRAIN_CHARS`` don't suffice, longer ones, the shortest first), the documented bound
 on the sample. The rejection limit is learned from the same sample: documents held out from it are
 parsed, and a document is rejected when its best score is nearer to what foreign text scores than
 to what its own language scores, at ``REJECT_SHARE`` of the way.
@@ -154,35 +155,53 @@ def training(docs: DataFrame, chars: int = TRAIN_CHARS, most: int = TRAIN_DOCS,
     """Training text by language and the rejection limit, from a bounded sample of labelled documents.
 
     The sample of a language are the documents of least hash of doc_id, those of at most ``chars / 5``
-    characters first; they are used whole until ``chars`` characters are reached.
+    characters first, then longer ones from the shortest up; they are used whole until ``chars`` characters
+    are reached, and those that follow are held out.
     """
+    short = F.length("text") <= chars // 5
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    counts = {r[0]: r[1] for r in rows.where(F.length("text") <= chars // 5).groupBy("lang").count().collect()}
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.count_if(short), F.count_if(~short)).collect()}
     # a share of the hash range that holds the sample of each language several times over
     share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 4 * (most + held) / n + 1e-9)).otherwise(share)
-    near = rows.where((F.length("text") <= chars // 5) & (F.col("h") <= (F.coalesce(share, F.lit(1.0)) * 2.0 - 1.0) * float(2**63)))
+    for lang, (n, _) in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 4 * (most + held) / max(1, n) + 1e-9)).otherwise(share)
+    near = rows.where(short & (F.col("h") <= (F.coalesce(share, F.lit(1.0)) * 2.0 - 1.0) * float(2**63)))
     w = Window.partitionBy("lang").orderBy("h", "text")
     near = near.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most + held)
-    found = sorted((r.lang, r.h, r.text) for r in near.collect())
-    samples, rest = [], []
-    for lang in sorted({r[0] for r in found}):
-        own = list(dict.fromkeys(t for x, _, t in found if x == lang))
-        used, size, i = [], 0, 0
-        while i < min(most, len(own)) and size < chars:
-            n, _ = normalised([own[i]])
+    own: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+    for lang, _, text in sorted((r.lang, r.h, r.text) for r in near.collect()):
+        own[lang].append(text)
+
+    def taken(texts: list[str]) -> list[str]:
+        used, size = [], 0
+        while len(used) < min(most, len(texts)) and size < chars:
+            n, _ = normalised([texts[len(used)]])
             used.append("".join(map(chr, n)))
             size += len(n)
-            i += 1
-        rest += [(lang, t) for t in own[i : i + held]]
-        if size:
+        return used
+
+    own = {lang: list(dict.fromkeys(texts)) for lang, texts in own.items()}
+    firsts = {lang: taken(texts) for lang, texts in own.items()}
+    lacking = [lang for lang, used in firsts.items() if counts[lang][1] and (len(used) < most and sum(map(len, used)) < chars or len(own[lang]) < len(used) + held)]
+    if lacking:
+        w = Window.partitionBy("lang").orderBy("size", "h", "text")
+        longer = rows.where(~short & F.col("lang").isin(lacking)).withColumn("size", F.length("text"))
+        longer = longer.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most + held)
+        for lang, _, _, text in sorted((r.lang, r["size"], r.h, r.text) for r in longer.collect()):
+            own[lang].append(text)
+    samples, rest = [], []
+    for lang, texts in own.items():
+        texts = list(dict.fromkeys(texts))
+        used = taken(texts)
+        rest += [(lang, t) for t in texts[len(used) : len(used) + held]]
+        if any(used):
             samples.append((lang, " ".join(used)))
     samples = tuple(samples)
     limit = float("inf")
     if len(samples) > 1 and rest:
         model = model_of(samples)
-        s, n = model.scores([t for _, t in rest])
+        runs = [model.scores(run) for _, run in slices([t for _, t in rest], 1_000_000)]
+        s, n = np.concatenate([x for x, _ in runs]), np.concatenate([x for _, x in runs])
         own = np.array([model.langs.index(x) for x, _ in rest])
         long = n >= MIN_LETTERS
         if long.any():

@@ -158,6 +158,22 @@ def test_languages_and_rejection(spark):
     assert {r.language for r in langid.identified(docs, (), math.inf).collect()} == {"und"}
 
 
+def test_languages_of_long_documents(spark):
+    rng = random.Random(5)
+    mix = lambda s, k: " ".join(rng.choice(s.split()) for _ in range(k))
+    en = [(i, mix(EN, 60), "en") for i in range(20)]
+    de = [(100 + i, mix(DE, 1500), "de") for i in range(8)]
+    assert min(len(t) for _, t, _ in de) > langid.TRAIN_CHARS // 5
+    for rows in (en + de, de + [(200 + i, mix(EN, 1500), "en") for i in range(8)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        samples, limit = langid.training(docs)
+        assert [lang for lang, _ in samples] == ["de", "en"] and len(samples[0][1]) >= langid.TRAIN_CHARS and limit < math.inf
+        assert all(r.language == r.lang and r.keep for r in langid.identified(docs, samples, limit).collect())
+    # short ones come first, longer ones fill up
+    both = spark.createDataFrame([(1, "lang " * 1500, "x"), (2, "kurz", "x"), (3, "lang " * 1400, "x")], "doc_id long, text string, lang string")
+    assert langid.training(both, held=0)[0] == (("x", " ".join(["kurz", "lang " * 1400, "lang " * 1500])),)
+
+
 # -- benchmark
 
 
