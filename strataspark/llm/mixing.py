@@ -8,7 +8,11 @@ training position is the time at which the demand reaches that number: the inver
 cumulative demand (the root of a quadratic between two knots). Documents are range-sorted by position.
 
 A source that is demanded less than it has loses the documents at the end of its seeded order; one
-that is demanded more begins again, for ``max_epochs`` epochs at most, and then stays away.
+that is demanded more begins again, for ``max_epochs`` epochs at most. Where it is demanded more than
+that, its weights are lowered by one factor over the whole of time, so that the last epoch ends with
+training, and the weights of the other sources are raised at each knot in proportion to fill up to 1;
+one that this lifts over its own epochs is lowered in turn. Where no other source has weight at a knot,
+the weights add up to less than 1 there, as there is nothing left to train on.
 
 The default schedule starts at the sources' own shares of all tokens and ends at shares proportional to their
 square roots, which favours small sources late; the default budget is the number of all tokens.
@@ -45,8 +49,8 @@ def default_schedule(held: Mapping[str, int]) -> dict[str, list[tuple[float, flo
     return {s: [(0.0, n / total), (1.0, float(n) ** 0.5 / roots)] for s, n in held.items()}
 
 
-def segments(schedule: Mapping[str, Sequence[tuple[float, float]]], budget: float) -> list[tuple[str, float, float, float, float, float]]:
-    """(source, time, length, weight at its start, rise of the weight, demand before) of each stretch between knots."""
+def segments(schedule: Mapping[str, Sequence[tuple[float, float]]], budget: float, most: Mapping[str, float] | None = None) -> list[tuple[str, float, float, float, float, float]]:
+    """(source, time, length, weight at its start, rise of the weight, demand before) of each stretch between knots; no source demands more than ``most`` tokens."""
     times = sorted({0.0, 1.0, *(t for knots in schedule.values() for t, _ in knots)})
 
     def at(knots: Sequence[tuple[float, float]], t: float) -> float:
@@ -59,16 +63,37 @@ def segments(schedule: Mapping[str, Sequence[tuple[float, float]]], budget: floa
         return knots[-1][1]
 
     sums = {t: sum(at(k, t) for _, k in sorted(schedule.items())) or 1.0 for t in times}
+    weights = lasting({s: [at(k, t) / sums[t] for t in times] for s, k in sorted(schedule.items())}, times, budget, most or {})
     out = []
-    for s, knots in sorted(schedule.items()):
+    for s, w in weights.items():
         before = 0.0
-        for t, u in zip(times, times[1:]):
-            x, y = at(knots, t) / sums[t], at(knots, u) / sums[u]
+        for t, u, x, y in zip(times, times[1:], w, w[1:]):
             out.append((s, t, u - t, x, y - x, before))
             before += budget * (u - t) * (x + y) / 2
     return out
 
 
+def lasting(weights: dict[str, list[float]], times: Sequence[float], budget: float, most: Mapping[str, float]) -> dict[str, list[float]]:
+    """Weights at the knots, lowered where a source would demand more than ``most`` tokens, the others raised."""
+
+    def demand(w: list[float]) -> float:
+        return budget * sum((u - t) * (x + y) / 2 for t, u, x, y in zip(times, times[1:], w, w[1:]))
+
+    weights, full = dict(weights), set()
+    while over := [s for s, w in weights.items() if s in most and s not in full and demand(w) > most[s]]:
+        for s in over:
+            factor = most[s] / demand(weights[s])
+            weights[s] = [x * factor for x in weights[s]]
+        full |= {*over}
+        for k in range(len(times)):
+            room = 1.0 - sum(w[k] for s, w in weights.items() if s in full)
+            free = sum(w[k] for s, w in weights.items() if s not in full)
+            if free:
+                for s in weights.keys() - full:
+                    weights[s] = [*weights[s][:k], weights[s][k] * room / free, *weights[s][k + 1 :]]
+    return weights
+
+
 @store.shielded
 def mixed(docs: DataFrame, schedule: Mapping[str | None, Sequence[tuple[float, float]]] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, source: str = "source", digits: int = BUCKET_DIGITS) -> DataFrame:
     """``docs`` with ``n_tokens``, ``epoch`` (from 0) and ``position`` (0 to 1); a document has a row for each epoch it is used in.
@@ -86,7 +111,7 @@ def mixed(docs: DataFrame, schedule: Mapping[str | None, Sequence[tuple[float, f
     total = sum(held.values())
     budget = total if budget is None else budget
     named = default_schedule(held) if schedule is None else {("n" if s is None else "s" + s): k for s, k in schedule.items()}
-    parts = [p for p in segments(named, float(budget)) if p[0] in held]
+    parts = [p for p in segments(named, float(budget), {s: float(max_epochs) * n for s, n in held.items()}) if p[0] in held]
     spark = docs.sparkSession
     plan: dict[str, list] = {}
     for s, t, length, x, rise, before in parts:

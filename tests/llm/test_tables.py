@@ -194,6 +194,24 @@ def test_curriculum_is_followed(spark):
         before += r.n_tokens
 
 
+def test_capped_source_lasts(spark):
+    rows = [(i, "tiny", "w") for i in range(10)] + [(100 + i, "abcde"[i % 5], "w " * 100) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(docs).collect()
+    tiny = sorted(r.position for r in got if r.source == "tiny")
+    assert len(tiny) == 4 * 10 and {r.epoch for r in got if r.source == "tiny"} == {0, 1, 2, 3} and 0.95 < tiny[-1] < 1
+    (_, x), (_, y) = mixing.default_schedule({"tiny": 10, **dict.fromkeys("abcde", 20_000)})["tiny"]
+    for need, t in enumerate(tiny):
+        assert 40 * (x * t + (y - x) * t * t / 2) / ((x + y) / 2) == pytest.approx(need, abs=0.001)
+    for q in range(4):  # the others fill up
+        assert abs(sum(r.n_tokens for r in got if q / 4 <= r.position < q / 4 + 0.25) - 100_010 / 4) <= 600
+    # one that is lifted over its own limit is lowered in turn; the weights add up to 1
+    knots = {"a": [(0.0, 0.6), (1.0, 0.2)], "b": [(0.0, 0.1), (1.0, 0.3)], "c": [(0.0, 0.3), (1.0, 0.5)]}
+    parts = mixing.segments(knots, 100.0, {"a": 10.0, "b": 21.0})
+    assert {s: round(50 * (x + x + rise), 9) for s, _, _, x, rise, _ in parts} == {"a": 10, "b": 21, "c": 69}
+    assert sum(p[3] for p in parts) == pytest.approx(1) and sum(p[3] + p[4] for p in parts) == pytest.approx(1)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None, "x y"), (1, None, "x y"), (None, "s", "a"), (2, "s", ""), (3, "s", None), (4, "s", "w " * 50_000)], "doc_id long, source string, text string")
     rows = mixing.mixed(docs).collect()
