@@ -14,20 +14,23 @@ stretches that remain, which changes no result.
 Defined results: null and empty texts have no spans; items of fewer than ``floor_words`` words can
 never match; of several items with a span the shortest is reported, then the least item_id; an empty benchmark leaks nothing; spans
 of one document that touch or overlap are cut together. What is left is joined with one blank.
-The automaton is broadcast; a benchmark of more than ``part_words`` words is cut into parts that are
-applied one after the other, each in its own pass.
+The automaton is broadcast. A benchmark of more than ``part_words`` words is cut into parts, one after the
+other in a pass of its own. A pass only notes the longest match at each word, by digest of the text; a last pass
+takes the longest over all parts (of equal ones that of the shortest item) and decides once on the original
+words, so that parts give what one automaton would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .textvec import Words, mix, release, slices
 
 MIN_WORDS, ITEM_COVER, FLOOR_WORDS, DOC_COVER, PART_WORDS = 8, 0.8, 5, 0.6, 2_000_000
@@ -122,13 +125,13 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-@cache
+@lru_cache(maxsize=1)
 def automaton_of(items: tuple[tuple[int, str], ...], floor: int) -> Automaton:
     return Automaton(items, floor)
 
 
-def leaked(texts: list[str | None], auto: Automaton, min_words: int, cover: float) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]], int]]:
-    """For each text with leaked spans: index, text, spans (start, end, words, item) in characters, words of the text."""
+def stretches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, list[str], Words, list[tuple[int, int, int]]]]:
+    """Slices of the texts: index of the first, texts, words, and (text, first word, end) of what the automaton has to walk."""
     for start, run in slices(texts):
         w = Words(run)
         grams = runs(w.hash, auto.floor)
@@ -141,21 +144,58 @@ def leaked(texts: list[str | None], auto: Automaton, min_words: int, cover: floa
         if not len(hit):
             continue
         breaks = np.flatnonzero((np.diff(hit) > 1) | (np.diff(doc) > 0)) + 1
+        yield start, run, w, [(int(d), int(part[0]), int(part[-1]) + auto.floor) for part, d in zip(np.split(hit, breaks), doc[np.concatenate([[0], breaks])])]
+
+
+def joined(spans: list[tuple]) -> list[list]:
+    """Spans (first word, end, item), those that touch or overlap as one, of the least item."""
+    merged: list[list] = []
+    for x, y, item in sorted(spans):
+        if merged and x <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+            merged[-1][2] = min(merged[-1][2], item)
+        else:
+            merged.append([x, y, item])
+    return merged
+
+
+def leaked(texts: list[str | None], auto: Automaton, min_words: int, cover: float) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]], int]]:
+    """For each text with leaked spans: index, text, spans (start, end, words, item) in characters, words of the text."""
+    for start, run, w, walks in stretches(texts, auto):
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for part, d in zip(np.split(hit, breaks), doc[np.concatenate([[0], breaks])]):
-            a, b = int(part[0]), int(part[-1]) + auto.floor
+        for d, a, b in walks:
             for x, y, item in auto.spans(w.hash[a:b].tolist(), min_words, cover):
-                found.setdefault(int(d), []).append((a + x, a + y, item))
+                found.setdefault(d, []).append((a + x, a + y, item))
         for d, spans in found.items():
             zero = int(w.at[d])
-            merged: list[list[int]] = []
-            for x, y, item in sorted(spans):
-                if merged and x <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], y)
-                    merged[-1][2] = min(merged[-1][2], item)
-                else:
-                    merged.append([x, y, item])
-            yield start + d, run[d], [(int(w.start[x]) - zero, int(w.end[y - 1]) - zero, y - x, auto.ids[item]) for x, y, item in merged], int(w.first[d + 1] - w.first[d])
+            yield start + d, run[d], [(int(w.start[x]) - zero, int(w.end[y - 1]) - zero, y - x, auto.ids[item]) for x, y, item in joined(spans)], int(w.first[d + 1] - w.first[d])
+
+
+def matches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text with matches of ``floor`` words or more: index, and for each word where one ends (word, words,
+    words of the item, whether it has no id, id)."""
+    for start, _, w, walks in stretches(texts, auto):
+        found: dict[int, list[tuple[int, int, int, bool, int]]] = {}
+        for d, a, b in walks:
+            first = a - int(w.first[d])
+            for i, (m, item) in enumerate(zip(*auto.lengths(w.hash[a:b].tolist()))):
+                if m >= auto.floor:
+                    found.setdefault(d, []).append((first + i, m, auto.sizes[item], auto.ids[item] is None, auto.ids[item] or 0))
+        for d, rows in found.items():
+            yield start + d, np.array(rows, np.int64)
+
+
+def decided(texts: list[str | None], noted: list[list[bytes] | None], min_words: int, cover: float) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]], int]]:
+    """What :func:`leaked` gives, from the matches of several parts."""
+    for i, (text, tables) in enumerate(zip(texts, noted)):
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for t in tables or ():
+            for at, m, *item in np.frombuffer(t, np.int64).reshape(-1, 5).tolist():
+                best[at] = min(best.get(at, (0, 0, 0, 0)), (-m, *item))
+        spans = [(at + 1 + m, at + 1, tuple(item)) for at, (m, *item) in best.items() if best.get(at + 1, (0,))[0] >= m and (-m >= min_words or -m >= cover * item[0])]
+        if spans:
+            w = Words([text])
+            yield i, text, [(int(w.start[x]), int(w.end[y - 1]), y - x, None if none else item) for x, y, (_, none, item) in joined(spans)], len(w.hash)
 
 
 def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
@@ -185,61 +225,86 @@ def parts_of(benchmark: DataFrame, part_words: int = PART_WORDS) -> list[tuple[t
 SPANS = "doc_id long, spans array<struct<start_char:int,end_char:int,words:int,item_id:long>>, leaked_words int, words int, dropped boolean, clean_text string"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, item_cover: float = ITEM_COVER, floor: int = FLOOR_WORDS, doc_cover: float = DOC_COVER, part_words: int = PART_WORDS) -> DataFrame:
-    """One row for each document with leaked spans (for each part of the benchmark, where it has several)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for items in parts_of(benchmark, part_words):
+def noted(docs: DataFrame, parts: list[tuple[tuple[int, str], ...]], floor: int, how: str) -> DataFrame:
+    """``docs`` with the matches of all parts in a last column; each part is a pass that ends before the next begins."""
+    key, found = store.unused(docs, "__key", "__found")
+    keyed = docs.withColumn(key, F.sha2(F.col("text").cast("string"), 256))
+    plain = keyed.select(key, F.col("text").cast("string").alias("text"))
+    passes = []
+    for items in parts:
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             auto = automaton_of(items, floor)
             for b in batches:
-                rows = []
-                for i, text, spans, n in leaked(b.column(1).to_pylist(), auto, min_words, item_cover):
-                    m = sum(s[2] for s in spans)
-                    rows.append({"doc_id": b.column(0)[i].as_py(), "spans": [dict(zip(("start_char", "end_char", "words", "item_id"), s)) for s in spans], "leaked_words": m, "words": n, "dropped": m > doc_cover * n, "clean_text": without(text, spans)})
+                rows = list(matches(b.column(1).to_pylist(), auto))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows])), pa.array([t.tobytes() for _, t in rows], pa.binary())], names=[key, found])
+                release()
 
-        one = plain.mapInArrow(run, SPANS)
-        out = one if out is None else out.union(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SPANS)
+        passes.append(store.cut(plain.mapInArrow(run, f"`{key}` string, `{found}` binary"), "matches"))
+    each = reduce(DataFrame.union, passes).groupBy(key).agg(F.collect_set(found).alias(found))
+    return keyed.join(each, key, how).drop(key)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, item_cover: float = ITEM_COVER, floor: int = FLOOR_WORDS, doc_cover: float = DOC_COVER, part_words: int = PART_WORDS) -> DataFrame:
+    """One row for each document with leaked spans."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = parts_of(benchmark, part_words)
+    if not parts:
+        return docs.sparkSession.createDataFrame([], SPANS)
+    one = parts[0] if len(parts) == 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton_of(one, floor) if one else None
+        for b in batches:
+            rows, texts = [], b.column(1).to_pylist()
+            for i, text, spans, n in leaked(texts, auto, min_words, item_cover) if auto else decided(texts, b.column(2).to_pylist(), min_words, item_cover):
+                m = sum(s[2] for s in spans)
+                rows.append({"doc_id": b.column(0)[i].as_py(), "spans": [dict(zip(("start_char", "end_char", "words", "item_id"), s)) for s in spans], "leaked_words": m, "words": n, "dropped": m > doc_cover * n, "clean_text": without(text, spans)})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+
+    return (plain if one else noted(plain, parts, floor, "inner")).mapInArrow(run, SPANS)
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("words", pa.int32()), ("item_id", pa.int64())]))), ("leaked_words", pa.int32()), ("words", pa.int32()), ("dropped", pa.bool_()), ("clean_text", pa.string())])
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, item_cover: float = ITEM_COVER, floor: int = FLOOR_WORDS, doc_cover: float = DOC_COVER, part_words: int = PART_WORDS) -> DataFrame:
-    """``docs`` with leaked spans cut out and mostly leaked documents dropped; all columns kept, no shuffle.
+    """``docs`` with leaked spans cut out and mostly leaked documents dropped; all columns kept, no shuffle of a
+    benchmark in one part.
 
     Where there is a column ``n_chars``, it follows the text.
     """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    for items in parts_of(benchmark, part_words):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            auto = automaton_of(items, floor)
-            for b in batches:
-                texts, keep, changed = b.column(at).to_pylist(), np.ones(b.num_rows, np.bool_), {}
-                for i, text, spans, n in leaked(texts, auto, min_words, item_cover):
-                    keep[i] = sum(s[2] for s in spans) <= doc_cover * n
-                    changed[i] = without(text, spans)
-                if changed:
+    width, parts = len(docs.columns), parts_of(benchmark, part_words)
+    if not parts:
+        return docs
+    one = parts[0] if len(parts) == 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton_of(one, floor) if one else None
+        for b in batches:
+            texts, keep, changed = b.column(at).to_pylist(), np.ones(b.num_rows, np.bool_), {}
+            for i, text, spans, n in leaked(texts, auto, min_words, item_cover) if auto else decided(texts, b.column(width).to_pylist(), min_words, item_cover):
+                keep[i] = sum(s[2] for s in spans) <= doc_cover * n
+                changed[i] = without(text, spans)
+            b = b.select(range(width))
+            if changed:
+                for i, t in changed.items():
+                    texts[i] = t
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                if chars >= 0:
+                    n_chars = b.column(chars).to_pylist()
                     for i, t in changed.items():
-                        texts[i] = t
-                    b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-                    if chars >= 0:
-                        n_chars = b.column(chars).to_pylist()
-                        for i, t in changed.items():
-                            n_chars[i] = len(t)
-                        b = b.set_column(chars, b.schema.field(chars), pa.array(n_chars, b.schema.field(chars).type))
-                    b = b.filter(pa.array(keep))
-                yield b
-                release()
+                        n_chars[i] = len(t)
+                    b = b.set_column(chars, b.schema.field(chars), pa.array(n_chars, b.schema.field(chars).type))
+                b = b.filter(pa.array(keep))
+            yield b
+            release()
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return (docs if one else noted(docs, parts, floor, "left")).mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

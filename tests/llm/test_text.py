@@ -234,6 +234,22 @@ def test_cleaned(spark):
     assert decontaminate.cleaned(docs.limit(0), bench).count() == 0
 
 
+def test_parts_of_a_benchmark_are_one(spark):
+    rng = random.Random(6)
+    draw = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    first, second = (" ".join(f"{c}{i}" for i in range(35)) for c in "xy")
+    items = [(i, draw(rng.randrange(2, 14))) for i in range(8)] + [(None, "a b c d e f a b c"), (20, first), (21, second), (22, "p q r s t u"), (23, "p q r s t u v " + draw(40))]
+    rows = [(i, draw(60)) for i in range(40)] + [(100, f"{first} {second} " + "own " * 30), (101, f"p q r s t u v {draw(9)}"), (100, None), (None, f"own {first} own"), (None, f"own {first} own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__found", F.lit("own"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for how in (decontaminate.leaks, decontaminate.cleaned):
+        one, several = (how(docs, bench, min_words=7, floor=3, part_words=n) for n in (1000, 1))
+        assert several.schema == one.schema and sorted(map(str, several.collect())) == sorted(map(str, one.collect()))
+    found = [r for r in decontaminate.leaks(docs.where("doc_id = 100"), bench, part_words=1).collect()]
+    assert [(r.leaked_words, r.words, r.dropped, r.clean_text) for r in found] == [(70, 100, True, " ".join(["own"] * 30))]
+    assert decontaminate.cleaned(docs.where("doc_id = 100 and text is not null"), bench, part_words=1).count() == 0
+
+
 # -- quality
 
 
