@@ -2,52 +2,60 @@
 
 The automaton recognises every run of words of every benchmark item (words as in ``textvec``: runs
 of alphanumerics, lower case). The words of a document stream through it and each position gets the
-length of the longest match ending there. A maximal match is a leaked span when it has at least
-``min_words`` words, or when it covers at least ``item_cover`` of the item it comes from and has at
-least ``floor_words`` words. Leaked spans are cut out of the text; a document of which more than
-``doc_cover`` of the words is leaked goes as a whole.
-
-A span can only be leaked where all its runs of ``floor_words`` words occur in the benchmark, which
+longest match ending there. A run of words of a document is leaked when an item holds it and it has at least
+``min_words`` words, or at least ``floor_words`` words and at least ``item_cover`` of that item's. The longest match
+at a position isn't the only one that counts: a short item may end a longer match of a long item, so that the matches
+along the suffix links, which are all the others that end there, are judged as well; what they give is computed once
+for each state. Leaked runs are cut out of the text; a document of which more than ``doc_cover`` of the words is
+leaked goes as a whole.
+
+A run can only be leaked where all its runs of ``floor_words`` words occur in the benchmark, which
 a bit table over hashes of such runs tells for a whole batch at once; the automaton walks just the
-stretches that remain, which changes no result.
+stretches that remain, all of a batch side by side, which changes no result.
 
 Defined results: null and empty texts have no spans; items of fewer than ``floor_words`` words can
-never match; of several items with a span the shortest is reported, then the least item_id; an empty benchmark leaks nothing; spans
-of one document that touch or overlap are cut together. What is left is joined with one blank.
-The automaton is broadcast. A benchmark of more than ``part_words`` words is cut into parts, one after the
-other in a pass of its own. A pass only notes the longest match at each word, by digest of the text; a last pass
-takes the longest over all parts (of equal ones that of the shortest item) and decides once on the original
-words, so that parts give what one automaton would.
+never match; runs of one document that touch or overlap are one span, which names, of all items it has a leaked run of,
+the one of fewest words, then of least item_id (null ids last); an empty benchmark leaks nothing. What is left
+is joined with one blank. Repeated rows each give a row.
+
+The automaton is built on the driver as flat arrays of some 60 bytes a benchmark word and broadcast. A benchmark of more
+than ``part_words`` words is cut into parts (an item is never cut), so that the broadcast has that bound; each part is a
+pass of its own over the texts, which notes the leaked runs by digest of the text. A last pass joins the runs of all parts
+and decides once on the original words. A run is leaked by a single item, so parts give what one automaton would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
 from .textvec import Words, mix, release, slices
 
-MIN_WORDS, ITEM_COVER, FLOOR_WORDS, DOC_COVER, PART_WORDS = 8, 0.8, 5, 0.6, 2_000_000
+MIN_WORDS, ITEM_COVER, FLOOR_WORDS, DOC_COVER, PART_WORDS = 8, 0.8, 5, 0.6, 500_000
 BITS = 22
+NONE = np.int32(2**31 - 1)
 
 
 class Automaton:
-    """Generalised suffix automaton over the words of some items (id, text)."""
+    """Generalised suffix automaton over the words of some items (id, text), as flat arrays."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], floor: int):
-        self.goto: list[dict[int, int]] = [{}]
-        self.link, self.length, self.item, self.floor = [-1], [0], [-1], floor
-        # items in order of length, so that of several the state names the shortest
+    def __init__(self, items: list[tuple[int | None, str]], floor: int, min_words: int, cover: float):
+        # items in order of length and id, so that of several that have a state the least number is the one to name
         hashed = sorted(((Words([text]).hash, i) for i, text in items), key=lambda x: (len(x[0]), x[1] is None, x[1] or 0))
-        self.sizes = [len(h) for h, _ in hashed]
-        self.ids = [i for _, i in hashed]
+        sizes = [len(h) for h, _ in hashed]
+        self.floor, self.min_words, self.cover = floor, min_words, cover
+        self.sizes, self.ids = np.array(sizes, np.int64), [i for _, i in hashed]
         grams = [np.zeros(0, np.uint64)]
+        # building goes over dictionaries; what is kept are sorted keys of the transitions
+        self._goto: list[dict[int, int]] = [{}]
+        self._link, self._length, self._item = [-1], [0], [int(NONE)]
         for n, (h, _) in enumerate(hashed):
             grams.append(runs(h, floor))
             last = 0
@@ -55,23 +63,40 @@ class Automaton:
                 last = self._extend(last, c, n)
         self.table = np.zeros(1 << BITS, np.bool_)
         self.table[(np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        goto, link, length, item = self._goto, self._link, self._length, self._item
+        order = sorted(range(1, len(link)), key=length.__getitem__)
         # an item that has a state has the states its suffix links lead to as well
-        for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
-                self.item[self.link[s]] = min(self.item[self.link[s]], self.item[s])
+        for s in reversed(order):
+            item[link[s]] = min(item[link[s]], item[s])
+        # of the runs that a state's suffix links lead to, itself first: the longest leaked one, and the least item that leaks one
+        longest, least = [0] * len(link), [int(NONE)] * len(link)
+        for s in order:
+            longest[s], least[s] = longest[link[s]], least[link[s]]
+            if length[s] >= min_words or length[s] >= floor and length[s] >= cover * sizes[item[s]]:
+                longest[s], least[s] = length[s], min(least[s], item[s])
+        # the root's link is itself
+        link[0] = 0
+        self.link, self.length, self.item, self.longest, self.least = (np.array(x, np.int32) for x in (link, length, item, longest, least))
+        count = sum(map(len, goto))
+        keys = step_keys(np.repeat(np.arange(len(goto)), list(map(len, goto))), np.fromiter((c for g in goto for c in g), np.uint64, count))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.to = keys[order], np.fromiter((t for g in goto for t in g.values()), np.int32, count)[order]
+        del self._goto, self._link, self._length, self._item
 
     def _new(self, length: int, item: int, link: int, goto: dict[int, int]) -> int:
-        self.goto.append(goto)
-        self.link.append(link)
-        self.length.append(length)
-        self.item.append(item)
-        return len(self.goto) - 1
+        self._goto.append(goto)
+        self._link.append(link)
+        self._length.append(length)
+        self._item.append(item)
+        return len(self._goto) - 1
 
     def _extend(self, last: int, c: int, item: int) -> int:
-        goto, link, length = self.goto, self.link, self.length
+        goto, link, length = self._goto, self._link, self._length
         if c in goto[last]:
             q = goto[last][c]
-            return q if length[q] == length[last] + 1 else self._split(last, c, q, item)
+            q = q if length[q] == length[last] + 1 else self._split(last, c, q, item)
+            self._item[q] = min(self._item[q], item)
+            return q
         new = self._new(length[last] + 1, item, 0, {})
         p = last
         while p != -1 and c not in goto[p]:
@@ -83,36 +108,47 @@ class Automaton:
         return new
 
     def _split(self, p: int, c: int, q: int, item: int) -> int:
-        clone = self._new(self.length[p] + 1, min(item, self.item[q]), self.link[q], dict(self.goto[q]))
-        while p != -1 and self.goto[p].get(c) == q:
-            self.goto[p][c] = clone
-            p = self.link[p]
-        self.link[q] = clone
+        clone = self._new(self._length[p] + 1, min(item, self._item[q]), self._link[q], dict(self._goto[q]))
+        while p != -1 and self._goto[p].get(c) == q:
+            self._goto[p][c] = clone
+            p = self._link[p]
+        self._link[q] = clone
         return clone
 
-    def lengths(self, words: list[int]) -> tuple[list[int], list[int]]:
-        """Longest match ending at each word, and an item that has it."""
-        state, n, out, items = 0, 0, [], []
-        goto, link, length, item = self.goto, self.link, self.length, self.item
-        for c in words:
-            while state and c not in goto[state]:
-                state = link[state]
-                n = length[state]
-            if c in goto[state]:
-                state = goto[state][c]
-                n += 1
-            out.append(n)
-            items.append(item[state])
-        return out, items
-
-    def spans(self, words: list[int], min_words: int, cover: float) -> list[tuple[int, int, int]]:
-        """Leaked spans (first word, end, item) of some words, maximal to the right."""
-        n, items = self.lengths(words)
-        out = []
-        for i, m in enumerate(n):
-            if m and (i + 1 == len(n) or n[i + 1] <= m) and (m >= min_words or m >= self.floor and m >= cover * self.sizes[items[i]]):
-                out.append((i + 1 - m, i + 1, items[i]))
-        return out
+    def leaked(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words ``h`` between each ``begin`` and ``end``, all walked side by side: the words at which leaked
+        runs end, the length of the longest one there, and the least item that leaks one."""
+        at, stop = begin.copy(), end
+        state, n = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(at):
+            key = step_keys(state, h[at])
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            root = state == 0
+            # without a transition the match gets shorter; at the root it ends, and the word is passed over
+            state = np.where(hit, self.to[k], self.link[state])
+            n = np.where(hit, n + 1, self.length[state])
+            v, m = state[hit], n[hit]
+            i = self.item[v]
+            own = (m >= self.min_words) | ((m >= self.floor) & (m >= self.cover * self.sizes[i]))
+            below = self.link[v]
+            longest = np.where(own, m, self.longest[below])
+            some = longest > 0
+            if some.any():
+                found.append((at[hit][some], longest[some], np.where(own, np.minimum(i, self.least[below]), self.least[below])[some]))
+            at = at + (hit | root)
+            go = at < stop
+            if not go.all():
+                at, stop, state, n = at[go], stop[go], state[go], n[go]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def step_keys(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit keys of transitions; two differ but for a chance of 2**-64."""
+    return mix(word ^ mix(state.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -125,30 +161,25 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-@lru_cache(maxsize=1)
-def automaton_of(items: tuple[tuple[int, str], ...], floor: int) -> Automaton:
-    return Automaton(items, floor)
-
-
-def stretches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, list[str], Words, list[tuple[int, int, int]]]]:
-    """Slices of the texts: index of the first, texts, words, and (text, first word, end) of what the automaton has to walk."""
+def stretches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, list[str], Words, np.ndarray, np.ndarray]]:
+    """Slices of the texts: index of the first, texts, words, and first word and end of each stretch the automaton has to walk."""
     for start, run in slices(texts):
         w = Words(run)
         grams = runs(w.hash, auto.floor)
         hit = np.flatnonzero(auto.table[(grams >> np.uint64(64 - BITS)).astype(np.int64)])
-        if not len(hit):
-            continue
         doc = np.searchsorted(w.first, hit, side="right") - 1
         inside = hit + auto.floor <= w.first[doc + 1]
         hit, doc = hit[inside], doc[inside]
-        if not len(hit):
-            continue
-        breaks = np.flatnonzero((np.diff(hit) > 1) | (np.diff(doc) > 0)) + 1
-        yield start, run, w, [(int(d), int(part[0]), int(part[-1]) + auto.floor) for part, d in zip(np.split(hit, breaks), doc[np.concatenate([[0], breaks])])]
+        if len(hit):
+            breaks = np.flatnonzero((np.diff(hit) > 1) | (np.diff(doc) > 0)) + 1
+            yield start, run, w, hit[np.concatenate([[0], breaks])], hit[np.concatenate([breaks - 1, [-1]])] + auto.floor
+
 
+Span = tuple[int, int, tuple[int, bool, int]]
 
-def joined(spans: list[tuple]) -> list[list]:
-    """Spans (first word, end, item), those that touch or overlap as one, of the least item."""
+
+def joined(spans: list[Span]) -> list[list]:
+    """Spans (first word, end, item as (words, whether it has no id, id)), those that touch or overlap as one, of the least item."""
     merged: list[list] = []
     for x, y, item in sorted(spans):
         if merged and x <= merged[-1][1]:
@@ -159,43 +190,40 @@ def joined(spans: list[tuple]) -> list[list]:
     return merged
 
 
-def leaked(texts: list[str | None], auto: Automaton, min_words: int, cover: float) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]], int]]:
-    """For each text with leaked spans: index, text, spans (start, end, words, item) in characters, words of the text."""
-    for start, run, w, walks in stretches(texts, auto):
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for d, a, b in walks:
-            for x, y, item in auto.spans(w.hash[a:b].tolist(), min_words, cover):
-                found.setdefault(d, []).append((a + x, a + y, item))
-        for d, spans in found.items():
-            zero = int(w.at[d])
-            yield start + d, run[d], [(int(w.start[x]) - zero, int(w.end[y - 1]) - zero, y - x, auto.ids[item]) for x, y, item in joined(spans)], int(w.first[d + 1] - w.first[d])
-
-
-def matches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text with matches of ``floor`` words or more: index, and for each word where one ends (word, words,
-    words of the item, whether it has no id, id)."""
-    for start, _, w, walks in stretches(texts, auto):
-        found: dict[int, list[tuple[int, int, int, bool, int]]] = {}
-        for d, a, b in walks:
-            first = a - int(w.first[d])
-            for i, (m, item) in enumerate(zip(*auto.lengths(w.hash[a:b].tolist()))):
-                if m >= auto.floor:
-                    found.setdefault(d, []).append((first + i, m, auto.sizes[item], auto.ids[item] is None, auto.ids[item] or 0))
-        for d, rows in found.items():
-            yield start + d, np.array(rows, np.int64)
-
-
-def decided(texts: list[str | None], noted: list[list[bytes] | None], min_words: int, cover: float) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]], int]]:
-    """What :func:`leaked` gives, from the matches of several parts."""
+def matches(texts: list[str | None], auto: Automaton) -> Iterator[tuple[int, Words, int, list[list]]]:
+    """For each text with leaked runs: its index, words of its slice, its index there, and its spans in words of the text."""
+    names = [(int(n), i is None, i or 0) for n, i in zip(auto.sizes, auto.ids)]
+    for start, _, w, begin, end in stretches(texts, auto):
+        at, n, item = auto.leaked(w.hash, begin, end)
+        doc = np.searchsorted(w.first, at, side="right") - 1
+        found: dict[int, list[Span]] = {}
+        for d, x, y, i in zip(doc.tolist(), (at + 1 - n - w.first[doc]).tolist(), (at + 1 - w.first[doc]).tolist(), item.tolist()):
+            found.setdefault(d, []).append((x, y, names[i]))
+        for d in sorted(found):
+            yield start + d, w, d, joined(found[d])
+
+
+Leak = tuple[int, str, list[tuple[int, int, int, int | None]], int]
+
+
+def _placed(i: int, text: str, w: Words, d: int, spans: list[list]) -> Leak:
+    """Index, text, spans (start, end in characters, words, item), words of the text."""
+    first, zero = int(w.first[d]), int(w.at[d])
+    return i, text, [(int(w.start[first + x]) - zero, int(w.end[first + y - 1]) - zero, y - x, None if none else item) for x, y, (_, none, item) in spans], int(w.first[d + 1]) - first
+
+
+def leaked(texts: list[str | None], auto: Automaton) -> Iterator[Leak]:
+    """The texts with leaked spans."""
+    for i, w, d, spans in matches(texts, auto):
+        yield _placed(i, texts[i], w, d, spans)
+
+
+def decided(texts: list[str | None], noted: list[list[bytes] | None]) -> Iterator[Leak]:
+    """What :func:`leaked` gives, from the spans of several parts."""
     for i, (text, tables) in enumerate(zip(texts, noted)):
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for t in tables or ():
-            for at, m, *item in np.frombuffer(t, np.int64).reshape(-1, 5).tolist():
-                best[at] = min(best.get(at, (0, 0, 0, 0)), (-m, *item))
-        spans = [(at + 1 + m, at + 1, tuple(item)) for at, (m, *item) in best.items() if best.get(at + 1, (0,))[0] >= m and (-m >= min_words or -m >= cover * item[0])]
-        if spans:
-            w = Words([text])
-            yield i, text, [(int(w.start[x]), int(w.end[y - 1]), y - x, None if none else item) for x, y, (_, none, item) in joined(spans)], len(w.hash)
+        if tables:
+            spans = [(x, y, (n, bool(none), item)) for t in tables for x, y, n, none, item in np.frombuffer(t, np.int64).reshape(-1, 5).tolist()]
+            yield _placed(i, text, Words([text]), 0, joined(spans))
 
 
 def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
@@ -208,63 +236,76 @@ def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
     return " ".join(p for p in parts if p)
 
 
-def parts_of(benchmark: DataFrame, part_words: int = PART_WORDS) -> list[tuple[tuple[int, str], ...]]:
-    """The items in order of id, in parts of bounded size, each small enough to broadcast."""
-    parts, now, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where(F.col("text").isNotNull()).orderBy(F.col("i").asc_nulls_last(), "text")
+def parts_of(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in order of id, in parts of bounded size, one held at a time."""
+    now, size = [], 0
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).orderBy(F.col("i").asc_nulls_last(), "text")
     for i, text in rows.toLocalIterator():
-        n = text.count(" ") + text.count("\n") + 1
+        n = len(Words([text]).hash)
         if now and size + n > part_words:
-            parts.append(tuple(now))
+            yield now
             now, size = [], 0
         now.append((i, text))
         size += n
-    return [*parts, tuple(now)] if now else parts
+    if now:
+        yield now
 
 
 SPANS = "doc_id long, spans array<struct<start_char:int,end_char:int,words:int,item_id:long>>, leaked_words int, words int, dropped boolean, clean_text string"
 
 
-def noted(docs: DataFrame, parts: list[tuple[tuple[int, str], ...]], floor: int, how: str) -> DataFrame:
-    """``docs`` with the matches of all parts in a last column; each part is a pass that ends before the next begins."""
+def found_in(docs: DataFrame, benchmark: DataFrame, floor: int, min_words: int, cover: float, part_words: int, how: str) -> tuple[DataFrame, Broadcast | None] | None:
+    """Where the benchmark is one part, ``docs`` and its automaton. Else ``docs`` with the spans of all parts in a last column;
+    each part is a pass that ends before the next begins. None without items."""
+    spark = docs.sparkSession
     key, found = store.unused(docs, "__key", "__found")
     keyed = docs.withColumn(key, F.sha2(F.col("text").cast("string"), 256))
     plain = keyed.select(key, F.col("text").cast("string").alias("text"))
-    passes = []
-    for items in parts:
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            auto = automaton_of(items, floor)
+    def passed(auto: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = list(matches(b.column(1).to_pylist(), auto))
+                rows = [(i, np.array([(x, y, *item) for x, y, item in spans], np.int64).tobytes()) for i, _, _, spans in matches(b.column(1).to_pylist(), auto.value)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows])), pa.array([t.tobytes() for _, t in rows], pa.binary())], names=[key, found])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows])), pa.array([t for _, t in rows], pa.binary())], names=[key, found])
                 release()
 
-        passes.append(store.cut(plain.mapInArrow(run, f"`{key}` string, `{found}` binary"), "matches"))
+        return store.cut(plain.mapInArrow(run, f"`{key}` string, `{found}` binary"), "matches")
+
+    passes, before = [], None
+    for items in parts_of(benchmark, part_words):
+        if before is not None:
+            passes.append(passed(before))
+            before.destroy()
+        before = spark.sparkContext.broadcast(Automaton(items, floor, min_words, cover))
+    if before is None:
+        return None
+    if not passes:
+        return docs, before
+    passes.append(passed(before))
+    before.destroy()
     each = reduce(DataFrame.union, passes).groupBy(key).agg(F.collect_set(found).alias(found))
-    return keyed.join(each, key, how).drop(key)
+    return keyed.join(each, key, how).drop(key), None
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, item_cover: float = ITEM_COVER, floor: int = FLOOR_WORDS, doc_cover: float = DOC_COVER, part_words: int = PART_WORDS) -> DataFrame:
     """One row for each document with leaked spans."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = parts_of(benchmark, part_words)
-    if not parts:
+    how = found_in(plain, benchmark, floor, min_words, item_cover, part_words, "inner")
+    if how is None:
         return docs.sparkSession.createDataFrame([], SPANS)
-    one = parts[0] if len(parts) == 1 else None
+    source, auto = how
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton_of(one, floor) if one else None
         for b in batches:
             rows, texts = [], b.column(1).to_pylist()
-            for i, text, spans, n in leaked(texts, auto, min_words, item_cover) if auto else decided(texts, b.column(2).to_pylist(), min_words, item_cover):
+            for i, text, spans, n in leaked(texts, auto.value) if auto else decided(texts, b.column(2).to_pylist()):
                 m = sum(s[2] for s in spans)
                 rows.append({"doc_id": b.column(0)[i].as_py(), "spans": [dict(zip(("start_char", "end_char", "words", "item_id"), s)) for s in spans], "leaked_words": m, "words": n, "dropped": m > doc_cover * n, "clean_text": without(text, spans)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return (plain if one else noted(plain, parts, floor, "inner")).mapInArrow(run, SPANS)
+    return source.mapInArrow(run, SPANS)
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("words", pa.int32()), ("item_id", pa.int64())]))), ("leaked_words", pa.int32()), ("words", pa.int32()), ("dropped", pa.bool_()), ("clean_text", pa.string())])
@@ -278,16 +319,16 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, i
     """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    width, parts = len(docs.columns), parts_of(benchmark, part_words)
-    if not parts:
+    width = len(docs.columns)
+    how = found_in(docs, benchmark, floor, min_words, item_cover, part_words, "left")
+    if how is None:
         return docs
-    one = parts[0] if len(parts) == 1 else None
+    source, auto = how
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton_of(one, floor) if one else None
         for b in batches:
             texts, keep, changed = b.column(at).to_pylist(), np.ones(b.num_rows, np.bool_), {}
-            for i, text, spans, n in leaked(texts, auto, min_words, item_cover) if auto else decided(texts, b.column(width).to_pylist(), min_words, item_cover):
+            for i, text, spans, n in leaked(texts, auto.value) if auto else decided(texts, b.column(width).to_pylist()):
                 keep[i] = sum(s[2] for s in spans) <= doc_cover * n
                 changed[i] = without(text, spans)
             b = b.select(range(width))
@@ -304,7 +345,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, i
             yield b
             release()
 
-    return (docs if one else noted(docs, parts, floor, "left")).mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,36 +178,46 @@ def test_languages_of_long_documents(spark):
 
 
 def brute_spans(text_words, items, min_words, cover, floor):
-    """Maximal matches of word runs, by trying all."""
-    out, n = [], len(text_words)
+    """Leaked spans (first word, end, item), by trying every run of the text in every run of every item."""
+    n, found = len(text_words), []
     for i in range(n):
-        best = 0
-        for item in items:
-            for j in range(len(item)):
-                k = 0
-                while i + k < n and j + k < len(item) and text_words[i + k] == item[j + k]:
-                    k += 1
-                best = max(best, k)
-        sizes = [len(item) for item in items for j in range(len(item) - best + 1) if best and item[j : j + best] == text_words[i : i + best]]
-        if best and (best >= min_words or (best >= floor and best >= cover * min(sizes))):
-            out.append((i, i + best))
-    marked = set(x for a, b in out for x in range(a, b))
-    return marked
-
-
-def test_leaks_are_brute_force():
-    rng = random.Random(4)
-    vocabulary = "a b c d e f".split()
-    for _ in range(30):
-        items = [[rng.choice(vocabulary) for _ in range(rng.randrange(2, 14))] for _ in range(4)]
-        text = [rng.choice(vocabulary) for _ in range(40)]
-        auto = decontaminate.Automaton(tuple((i, " ".join(x)) for i, x in enumerate(items)), 3)
-        got = set()
-        for _, _, spans, _ in decontaminate.leaked([" ".join(text)], auto, 6, 0.8):
-            for a, b, n, _ in spans:
-                i = " ".join(text)[:a].count(" ")
-                got |= set(range(i, i + n))
-        assert got == brute_spans(text, items, 6, 0.8, 3)
+        for j in range(i + floor, n + 1):
+            run = text_words[i:j]
+            for k, item in enumerate(items):
+                if any(item[x : x + j - i] == run for x in range(len(item) - (j - i) + 1)) and (j - i >= min_words or j - i >= cover * len(item)):
+                    found.append((i, j, (len(item), k)))
+    out = []
+    for i, j, item in sorted(found):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], j), min(out[-1][2], item))
+        else:
+            out.append((i, j, item))
+    return [(i, j, item[1]) for i, j, item in out]
+
+
+def spans_of(text, auto):
+    """The spans in words of a text whose words are single letters."""
+    return [(text[:a].count(" "), text[:a].count(" ") + n, item) for _, _, spans, _ in decontaminate.leaked([text], auto) for a, b, n, item in spans]
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_leaks_are_brute_force(seed):
+    rng = random.Random(seed)
+    vocabulary = "abcdef"[: rng.choice([2, 3, 6])]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(2, 14))] for _ in range(rng.randrange(1, 6))]
+    items.append(items[0][1:])
+    auto = decontaminate.Automaton([(i, " ".join(x)) for i, x in enumerate(items)], 3, 6, 0.8)
+    for _ in range(5):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 40))] + rng.choice(items)
+        assert spans_of(" ".join(text), auto) == brute_spans(text, items, 6, 0.8, 3)
+
+
+def test_short_item_within_a_longer_match():
+    """Seven words of the long item are too few of it, but they begin with, or end in, the whole of the short one."""
+    long = "p q r s t u v " + " ".join("abcdefghijklm")
+    for text, short, want in (("x p q r s t u v x", "r s t u v", (3, 8)), ("x p q r s t u v x", "p q r s t", (1, 6)), ("x p q r s t u v x", "q r s t u", (2, 7))):
+        auto = decontaminate.Automaton([(1, long), (2, short)], 5, 8, 0.8)
+        assert spans_of(text, auto) == [(*want, 2)]
 
 
 def test_cleaned(spark):
