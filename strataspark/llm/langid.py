@@ -4,28 +4,34 @@ A suffix automaton of labelled text per language recognises all its substrings.
 parsed greedily against each automaton: a phrase is the longest match (at least one character)
 from where the last one ended (Ziv and Merhav). The score of a language is
 ``phrases * log2(characters of its training text) / characters parsed`` in bits a character; the
-least score wins. The whole text is parsed, in blocks of ``BLOCK`` characters, each parsed on its
-own, so that all blocks of a batch advance together in numpy, one character a step.
+least score wins. The parse is that of the whole text. It is found in blocks of ``BLOCK`` characters that advance
+together in numpy: each block is first parsed from the root, then again from the state that the block before it
+ended in, for as long as the two parses differ (mostly a phrase or two), and so on until no block changes.
 
 Text is normalised first: lower case, each character that isn't a letter becomes a blank, and runs
 of blanks become one. Training takes ``TRAIN_CHARS`` normalised characters a language from at most
 ``TRAIN_DOCS`` whole labelled documents of it (those of least hash of doc_id; where the ones of at most
 a fifth of ``TRAIN_CHARS`` don't suffice, longer ones, the shortest first), the documented bound
-on the sample. The rejection limit is learned from the same sample: documents held out from it are
-parsed, and a document is rejected when its best score is nearer to what foreign text scores than
-to what its own language scores, at ``REJECT_SHARE`` of the way.
-
-Defined results: no letters at all (empty, null, digits, symbols) gives ``und`` and is rejected;
-documents under ``MIN_LETTERS`` normalised characters are named but never rejected, as their score
-is too uncertain; equal scores go to the language first in alphabetical order. Without any labelled text
-every document is ``und``, and kept where it has letters, since nothing can be decided. Extra columns are left
-alone.
+on the sample. Before that, a quarter of the sample of each language with two documents or more, ``HELD_DOCS`` at most and
+one at least, is held out. The held-out documents are parsed, and the rejection limit lies between what they score in their own
+language and what they score in the nearest other one, at ``REJECT_SHARE`` of the way. The score of n characters
+scatters by about ``spread / sqrt(n)``, estimated from the same documents; a document is rejected when its best score is above
+the limit by more than ``SIGMAS`` times that, so that a short text needs a worse score than a long one. Here scores don't count
+the last phrase, which the end of the text cuts off.
+
+Defined results: no letters at all (empty, null, digits, symbols) gives ``und`` and is rejected; equal scores go to
+the language first in alphabetical order. Without any labelled text
+every document is ``und``, and kept where it has letters, since nothing can be decided. With one language only, or where no
+language has two labelled documents, there is nothing to learn a limit from, and only documents without letters are rejected.
+Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .textvec import alpha_table, code_points, lower_table, release, slices
 
-BLOCK, TRAIN_CHARS, TRAIN_DOCS, HELD_DOCS, MIN_LETTERS, REJECT_SHARE = 256, 30_000, 150, 60, 60, 0.8
+BLOCK, TRAIN_CHARS, TRAIN_DOCS, HELD_DOCS, REJECT_SHARE, SIGMAS = 256, 30_000, 150, 60, 0.8, 3.0
 
 
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +119,7 @@ class Model:
             base += len(goto)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
-    def phrases(self, texts: list[str], block: int) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (texts x languages) and normalised characters of each."""
         chars, at = normalised(texts)
         lengths = np.diff(at)
@@ -125,9 +131,12 @@ class Model:
             first = np.cumsum(blocks) - blocks
             grid[np.arange(len(chars)) + np.repeat(first * block - at[:-1], lengths)] = self.code[chars]
             steps = np.ascontiguousarray(grid.reshape(total, block).T)
+            some = blocks > 0
+            follows = np.ones(total, np.bool_)
+            follows[first[some]] = False
             for i, root in enumerate(self.roots):
                 state = np.full(total, root, np.int64)
-                count = np.zeros(total, np.int32)
+                count = np.zeros(total, np.int64)
                 go, flag = np.empty(total, np.int32), np.empty(total, np.int32)
                 for row in steps:
                     np.add(state, row, out=state)
@@ -136,10 +145,34 @@ class Model:
                     np.add(count, flag, out=count)
                     np.bitwise_and(go, BREAK - 1, out=go)
                     state[:] = go
-                some = blocks > 0
+                self._carry(steps, state, count, follows, root)
                 out[some, i] = np.add.reduceat(count, first[some])
         return out, lengths
 
+    def _carry(self, steps: np.ndarray, last: np.ndarray, count: np.ndarray, follows: np.ndarray, root: int) -> None:
+        """Correct the counts of blocks parsed from the root to those of blocks that go on from the one before; ``last``
+        has the states that the blocks end in."""
+        begun = np.full(len(last), root, np.int64)
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            before, now = begun[todo], last[todo - 1]
+            begun[todo] = now
+            lane = todo[before != now]
+            a, b = before[before != now], now[before != now]
+            for row in steps:
+                if not len(lane):
+                    break
+                ga, gb = self.table[a + row[lane]], self.table[b + row[lane]]
+                count[lane] += (gb >> 30) - (ga >> 30)
+                a, b = (ga & (BREAK - 1)).astype(np.int64), (gb & (BREAK - 1)).astype(np.int64)
+                apart = a != b
+                lane, a, b = lane[apart], a[apart], b[apart]
+            last[lane] = b
+            # those that never met end elsewhere than thought, so the blocks after them begin elsewhere
+            lane = lane + 1
+            lane = lane[lane < len(last)]
+            todo = lane[follows[lane]]
+
     def scores(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character (texts x languages) and normalised characters."""
         phrases, lengths = self.phrases(texts, block)
@@ -151,12 +184,23 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
-def training(docs: DataFrame, chars: int = TRAIN_CHARS, most: int = TRAIN_DOCS, held: int = HELD_DOCS) -> tuple[tuple[tuple[str, str], ...], float]:
+@dataclass(frozen=True)
+class Limit:
+    """Best scores above ``bits`` by more than ``SIGMAS * spread / sqrt(characters)`` are rejected."""
+
+    bits: float = math.inf
+    spread: float = 0.0
+
+    def keeps(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return scores <= self.bits + SIGMAS * self.spread / np.sqrt(np.maximum(1, lengths))
+
+
+def training(docs: DataFrame, chars: int = TRAIN_CHARS, most: int = TRAIN_DOCS, held: int = HELD_DOCS) -> tuple[tuple[tuple[str, str], ...], Limit]:
     """Training text by language and the rejection limit, from a bounded sample of labelled documents.
 
     The sample of a language are the documents of least hash of doc_id, those of at most ``chars / 5``
-    characters first, then longer ones from the shortest up; they are used whole until ``chars`` characters
-    are reached, and those that follow are held out.
+    characters first, then longer ones from the shortest up. Every fourth of them is held out, ``held`` at most; the others
+    are used whole until ``chars`` characters are reached.
     """
     short = F.length("text") <= chars // 5
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
@@ -180,38 +224,58 @@ def training(docs: DataFrame, chars: int = TRAIN_CHARS, most: int = TRAIN_DOCS,
             size += len(n)
         return used
 
-    own = {lang: list(dict.fromkeys(texts)) for lang, texts in own.items()}
-    firsts = {lang: taken(texts) for lang, texts in own.items()}
-    lacking = [lang for lang, used in firsts.items() if counts[lang][1] and (len(used) < most and sum(map(len, used)) < chars or len(own[lang]) < len(used) + held)]
-    if lacking:
+    def parted(texts: list[str]) -> tuple[list[str], list[str]]:
+        """Documents to train on and documents held out; of two or three, the last."""
+        texts = list(dict.fromkeys(texts))
+        out = [*range(3, len(texts), 4)][:held] or [len(texts) - 1][: min(held, len(texts) - 1)]
+        return [t for i, t in enumerate(texts) if i not in {*out}], [texts[i] for i in out]
+
+    def lacking(texts: list[str]) -> bool:
+        own, out = parted(texts)
+        used = taken(own)
+        return len(used) < most and sum(map(len, used)) < chars or len(out) < min(held, 1)
+
+    longer_of = [lang for lang, texts in own.items() if counts[lang][1] and lacking(texts)]
+    if longer_of:
         w = Window.partitionBy("lang").orderBy("size", "h", "text")
-        longer = rows.where(~short & F.col("lang").isin(lacking)).withColumn("size", F.length("text"))
+        longer = rows.where(~short & F.col("lang").isin(longer_of)).withColumn("size", F.length("text"))
         longer = longer.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most + held)
         for lang, _, _, text in sorted((r.lang, r["size"], r.h, r.text) for r in longer.collect()):
             own[lang].append(text)
     samples, rest = [], []
     for lang, texts in own.items():
-        texts = list(dict.fromkeys(texts))
-        used = taken(texts)
-        rest += [(lang, t) for t in texts[len(used) : len(used) + held]]
+        first, out = parted(texts)
+        used = taken(first)
         if any(used):
             samples.append((lang, " ".join(used)))
+            rest += [(lang, t) for t in out]
     samples = tuple(samples)
-    limit = float("inf")
-    if len(samples) > 1 and rest:
-        model = model_of(samples)
-        runs = [model.scores(run) for _, run in slices([t for _, t in rest], 1_000_000)]
-        s, n = np.concatenate([x for x, _ in runs]), np.concatenate([x for _, x in runs])
-        own = np.array([model.langs.index(x) for x, _ in rest])
-        long = n >= MIN_LETTERS
-        if long.any():
-            mine = s[np.arange(len(s)), own]
-            others = np.where(np.arange(s.shape[1])[None, :] == own[:, None], np.inf, s).min(axis=1)
-            limit = float(np.median(mine[long]) + REJECT_SHARE * (np.median(others[long]) - np.median(mine[long])))
-    return samples, limit
-
-
-def _decide(model: Model, texts: list[str], limit: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    return samples, limit_of(samples, rest)
+
+
+def unended(model: Model, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Scores without the last phrase."""
+    return scores - np.array(model.bits) / np.maximum(1, lengths)[:, None]
+
+
+def limit_of(samples: tuple[tuple[str, str], ...], held: list[tuple[str, str]]) -> Limit:
+    """The rejection limit from held-out documents (language, text)."""
+    if len(samples) < 2 or not held:
+        return Limit()
+    model = model_of(samples)
+    runs = [model.scores(run) for _, run in slices([t for _, t in held], 1_000_000)]
+    n = np.concatenate([x for _, x in runs])
+    s = unended(model, np.concatenate([x for x, _ in runs]), n)
+    own = np.array([model.langs.index(x) for x, _ in held])
+    mine = s[np.arange(len(s)), own]
+    others = np.where(np.arange(s.shape[1])[None, :] == own[:, None], np.inf, s).min(axis=1)
+    middle = np.median(mine)
+    # the median of the deviations times this is a normal one's standard deviation
+    spread = 1.4826 * np.median(np.abs(mine - middle) * np.sqrt(n))
+    return Limit(float(middle + REJECT_SHARE * (np.median(others) - middle)), float(spread))
+
+
+def _decide(model: Model, texts: list[str], limit: Limit) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     langs, best, margin, keep = [], [], [], []
     for _, run in slices(texts, 1_000_000):
         s, n = model.scores(run)
@@ -225,7 +289,7 @@ def _decide(model: Model, texts: list[str], limit: float) -> tuple[list[str], np
             langs += [model.langs[j] if ok else "und" for j, ok in zip(i, letters)]
             best.append(np.where(letters, low, 0.0))
             margin.append(np.where(letters, second - low, 0.0))
-            keep.append(letters & ((low <= limit) | (n < MIN_LETTERS)))
+            keep.append(letters & limit.keeps(unended(model, s, n)[np.arange(len(s)), i], n))
         else:
             langs += ["und"] * len(run)
             best.append(np.zeros(len(run)))
@@ -235,7 +299,7 @@ def _decide(model: Model, texts: list[str], limit: float) -> tuple[list[str], np
     return langs, cat(best, float), cat(margin, float), cat(keep, bool)
 
 
-def identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: float) -> DataFrame:
+def identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: Limit) -> DataFrame:
     """(doc_id, lang, language, bits, margin, keep): the given label, the language found, its score,
     the lead over the next language, and whether the document stays."""
 
@@ -249,7 +313,7 @@ def identified(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: flo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, language string, bits double, margin double, keep boolean")
 
 
-def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: float) -> DataFrame:
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], limit: Limit) -> DataFrame:
     """``docs`` without the rejected ones, all columns kept; no shuffle."""
     at = docs.columns.index("text")
 

@@ -127,10 +127,20 @@ def test_cross_parsing_is_brute_force():
         n = norm(t)
         assert lengths[i] == len(n)
         assert got[i].tolist() == [brute_phrases(x, n) for x in train], t
-    blocks, _ = model.phrases(texts, 16)
-    for i, t in enumerate(texts):
-        n = norm(t)
-        assert blocks[i].tolist() == [sum(brute_phrases(x, n[j : j + 16]) for j in range(0, len(n), 16)) for x in train]
+    for block in (1, 2, 16):
+        assert model.phrases(texts, block)[0].tolist() == got.tolist()
+
+
+def test_blocks_go_on_from_one_another():
+    """Texts that repeat the training text never end a phrase within a block, so that corrections pass on from block to block."""
+    rng = random.Random(11)
+    train = "".join(rng.choice("abcde ") for _ in range(600))
+    texts = [train, train[100:] + train, "x" * 200, "".join(rng.choice("abcdx ") for _ in range(900)), train[3:300] + "q" + train[20:200]]
+    model = langid.Model((("x", train), ("y", train[::-1])))
+    want = [[brute_phrases(t, norm(text)) for t in (norm(train), norm(train[::-1]))] for text in texts]
+    assert want[0][0] == 1
+    for block in (1, 7, 64, 256, 5000):
+        assert model.phrases(texts, block)[0].tolist() == want
 
 
 EN = "the quick brown fox jumps over the lazy dog while many people were watching from their houses near the river and talking about it for hours "
@@ -154,8 +164,8 @@ def test_languages_and_rejection(spark):
     kept = langid.accepted(docs, samples, limit)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep}
     empty = docs.limit(0)
-    assert langid.training(empty) == ((), math.inf) and langid.identified(empty, (), math.inf).count() == 0
-    assert {r.language for r in langid.identified(docs, (), math.inf).collect()} == {"und"}
+    assert langid.training(empty) == ((), langid.Limit()) and langid.identified(empty, (), langid.Limit()).count() == 0
+    assert {r.language for r in langid.identified(docs, (), langid.Limit()).collect()} == {"und"}
 
 
 def test_languages_of_long_documents(spark):
@@ -167,13 +177,37 @@ def test_languages_of_long_documents(spark):
     for rows in (en + de, de + [(200 + i, mix(EN, 1500), "en") for i in range(8)]):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         samples, limit = langid.training(docs)
-        assert [lang for lang, _ in samples] == ["de", "en"] and len(samples[0][1]) >= langid.TRAIN_CHARS and limit < math.inf
+        assert [lang for lang, _ in samples] == ["de", "en"] and len(samples[0][1]) >= langid.TRAIN_CHARS and limit.bits < math.inf
         assert all(r.language == r.lang and r.keep for r in langid.identified(docs, samples, limit).collect())
     # short ones come first, longer ones fill up
     both = spark.createDataFrame([(1, "lang " * 1500, "x"), (2, "kurz", "x"), (3, "lang " * 1400, "x")], "doc_id long, text string, lang string")
     assert langid.training(both, held=0)[0] == (("x", " ".join(["kurz", "lang " * 1400, "lang " * 1500])),)
 
 
+def test_few_labels_and_ties(spark):
+    rng = random.Random(9)
+    mix = lambda s: " ".join(rng.sample(s.split(), len(s.split())))
+    odd = [(900, "qwx zzkj vvbq xjq " * 20, None), (901, "zq", None), (902, mix(EN), None)]
+    # two documents of a language are enough to hold one out
+    docs = spark.createDataFrame([(1, mix(EN), "en"), (2, mix(EN), "en"), (3, mix(DE), "de"), (4, mix(DE), "de"), *odd], "doc_id long, text string, lang string")
+    samples, limit = langid.training(docs)
+    got = {r.doc_id: r for r in langid.identified(docs, samples, limit).collect()}
+    assert limit.bits < math.inf and not got[900].keep and all(got[i].keep for i in (1, 2, 3, 4, 901, 902)) and got[902].language == "en"
+    # one document of each leaves nothing to hold out, one language nothing to compare with
+    for few in (docs.where("doc_id in (1, 3) or lang is null"), docs.where("lang = 'en' or lang is null")):
+        samples, limit = langid.training(few)
+        assert samples and limit == langid.Limit() and all(r.keep for r in langid.identified(few, samples, limit).collect())
+    # equal scores: the first in alphabetical order
+    same = spark.createDataFrame([(i, EN, x) for i, x in enumerate(("zz", "aa", "mm"))], "doc_id long, text string, lang string")
+    assert {r.language for r in langid.identified(same, *langid.training(same)).collect()} == {"aa"}
+
+
+def test_limit_widens_for_short_texts():
+    limit = langid.Limit(2.0, 1.0)
+    assert limit.keeps(np.array([2.9, 3.1, 2.2, 2.4]), np.array([10, 10, 100, 100])).tolist() == [True, False, True, False] or langid.SIGMAS != 3
+    assert langid.Limit().keeps(np.array([99.0]), np.array([10**6])).all()
+
+
 # -- benchmark
 
 
