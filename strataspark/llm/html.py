@@ -13,6 +13,9 @@ authors marked the content with ``<article>`` or ``<main>``; those two tags them
 an unknown tag, so they help no page at extraction. Training uses at most ``TRAIN_PAGES`` labelled
 pages, those of least hash of page_id: the documented bound.
 
+Attribute values may hold ``<`` and, unless they are quoted, quotes; a tag ends at the next ``>`` outside a quoted value, and one without
+an end takes the rest of the page. No part of a tag is ever text.
+
 Defined results: null, empty and tag-only pages give empty text and the region (-1, -1); of regions with equal
 sums the one that ends first wins, and of those the one that begins last; script, style, head
 titles and comments are dropped before scoring; entities are decoded; block tags end a line. Without
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES, EPOCHS, LEAST_WORD, LEAST_TAG, UNKNOWN = 1000, 4, 0.05, 0.05, -1.0
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+# quotes only matter right behind an equals sign; a tag that never ends runs to the end of the page, as in browsers
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 MARKS = {"article", "main"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "main", "nav", "footer", "header", "blockquote", "pre", "td", "aside", "form"}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -59,7 +63,7 @@ def tokens(page: str) -> tuple[list[str], list[list[str] | None], list[tuple[int
             classes.append(("/" if closing else "") + name)
             words.append(None)
             places.append(m.span())
-        elif not (m.group(1) or m.group().startswith(("<!", "<?"))) and (found := m.group().split()):
+        elif not (m.group(1) or m.group().startswith(("<!", "<?", "</"))) and (found := m.group().split()):
             classes.append("#link" if link else "#head" if head else "#text")
             words.append(found)
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
@@ -143,8 +147,13 @@ def learn(pages: list[str]) -> dict[str, float]:
 
 
 def labelled_pages(pages: DataFrame, most: int = TRAIN_PAGES) -> list[str]:
-    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)</(article|main)\s*>"))
-    return [r.html for r in marked.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most).collect()]
+    """The texts of the ``most`` marked pages of least hash. A first pass finds the greatest of their hashes from ids alone, so
+    that no task sends more than the pages that are used."""
+    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)</(article|main)\s*>")).withColumn("h", F.xxhash64("page_id"))
+    last = marked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r.html for r in marked.where(F.col("h") <= last).orderBy("h", "page_id", "html").limit(most).collect()]
 
 
 @cache

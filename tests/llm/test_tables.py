@@ -266,6 +266,25 @@ def test_extraction_edges(spark):
     assert html.extracted(pages, {}).count() == len(rows) and html.extracted(pages.limit(0), {}).count() == 0 and html.learn([]) == {}
 
 
+@pytest.mark.parametrize(
+    "page_,text",
+    [
+        ("<p title=it's>alpha", "alpha"), ('<p title=5">alpha beta</p>', "alpha beta"), ('<a href="x>y">k</a>', "k"), ("<p a= 'q>r'>s", "s"), ("<p a='b>c", "c"), ("<img alt=a<b>c", "c"), ("x <y and no end", "x"), ("a < b", "a < b"), ("</ >t", "t"), ("t <!doctype", "t"),
+    ],
+)
+def test_no_part_of_a_tag_is_text(page_, text):
+    assert html.extract(page_, {})[0] == text
+
+
+def test_labelled_pages_are_those_of_least_hash(spark):
+    rows = [(i % 50 if i % 7 else None, f"<main>{i}</main>" if i % 3 else f"<p>{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    marked = sorted((r.h, r.page_id is not None, r.page_id or 0, r.html) for r in pages.withColumn("h", F.xxhash64("page_id")).collect() if "<main>" in r.html)
+    for most in (1, 10, 60, 1000):
+        assert html.labelled_pages(pages, most) == [x[3] for x in marked[:most]]
+    assert html.labelled_pages(pages.limit(0)) == []
+
+
 def test_url_filter(spark, monkeypatch):
     blocked = ["bad.example.com", "site.org/secret/page", "site.org/q?x=1", "", None, " bad.example.com ", "naïve.org/ü"]
     urls_ = {
