@@ -2,15 +2,14 @@
 
 Every file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, then comes one
 Zstandard frame a record, each compressed on its own with that dictionary, so that any record can be
-read from its offset alone. The dictionary is built from the records of the file itself: from
-all of them, or, where they hold more than ``SAMPLE_X`` dictionaries' worth of bytes, from records
-evenly spread over the file up to that size (beyond it a trained dictionary no longer improves; this is
-the documented bound of the training). Each partition of the input writes its own files of about
+read from its offset alone. The first record is a ``warcinfo``. The dictionary is trained on all records of the file itself
+(fast cover with segments of ``SEGMENT`` bytes). Each partition of the input writes its own files of about
 ``file_bytes`` before compression, without a shuffle. Files, record ids and dates depend on the records alone, and
 a file appears whole or not at all, so a task that runs again leaves the same files.
 
 Defined results: a null page is archived as an empty body, a null URL as ``urn:page:<id>``; control
-characters in URLs are percent-encoded; repeated rows are archived each time; an empty table writes no file; where the
+characters in URLs are percent-encoded; the table has no time of capture, so that all records have the date given; repeated
+rows are archived each time; an empty table writes no file; where the
 records are too few or too short to train on, the file has no dictionary frame. Extra columns aren't read.
 """
 
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from . import files, store
 
 SKIPPABLE = 0x184D2A5D
-FILE_BYTES, DICT_BYTES, SAMPLE_X, LEVEL, DATE = 32_000_000, 65_536, 60, 3, "2024-01-01T00:00:00Z"
+MAGIC = 0xFD2FB528
+FILE_BYTES, DICT_BYTES, SEGMENT, LEVEL, DATE = 32_000_000, 65_536, 1024, 3, "2024-01-01T00:00:00Z"
 
 
 def record(page_id: int | None, url: str | None, body: bytes, date: str = DATE) -> tuple[bytes, str]:
@@ -44,19 +44,25 @@ def record(page_id: int | None, url: str | None, body: bytes, date: str = DATE)
     return head.encode() + body + b"\r\n\r\n", digest
 
 
-def dictionary(records: list[bytes], dict_bytes: int = DICT_BYTES, sample_x: int = SAMPLE_X) -> zstandard.ZstdCompressionDict | None:
-    total, most = sum(map(len, records)), dict_bytes * sample_x
-    step = max(1, -(-total // most))
-    sample = records[::step]
+def info(date: str = DATE) -> bytes:
+    """The record that tells what the file is."""
+    body = b"software: strataspark\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {date}")
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def dictionary(records: list[bytes], dict_bytes: int = DICT_BYTES) -> zstandard.ZstdCompressionDict | None:
+    size = min(dict_bytes, max(256, sum(map(len, records)) // 10))
     try:
-        return zstandard.train_dictionary(min(dict_bytes, max(256, total // 10)), sample, level=LEVEL)
-    except zstandard.ZstdError:
+        return zstandard.train_dictionary(size, records, k=min(SEGMENT, size // 8), d=8, split_point=1.0, level=LEVEL)
+    except (zstandard.ZstdError, ValueError):
         return None
 
 
-def pack(records: list[bytes], dict_bytes: int = DICT_BYTES, sample_x: int = SAMPLE_X, level: int = LEVEL) -> tuple[bytes, list[tuple[int, int]]]:
+def pack(records: list[bytes], dict_bytes: int = DICT_BYTES, level: int = LEVEL) -> tuple[bytes, list[tuple[int, int]]]:
     """A file of the records; offset and length of each one's frame."""
-    trained = dictionary(records, dict_bytes, sample_x)
+    trained = dictionary(records, dict_bytes)
     out, places = [], []
     at = 0
     if trained is not None:
@@ -82,15 +88,31 @@ def dictionary_of(data: bytes) -> tuple[zstandard.ZstdCompressionDict | None, in
     return None, 0
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at ``at`` ends, by the sizes in its headers."""
+    magic, flags = struct.unpack_from("<IB", data, at)
+    if magic != MAGIC:
+        raise ValueError(f"no Zstandard frame at {at}")
+    single = flags >> 5 & 1
+    content = (1 if single else 0, 2, 4, 8)[flags >> 6]
+    at += 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + content
+    last = 0
+    while not last:
+        block = int.from_bytes(data[at : at + 3], "little")
+        last, kind, size = block & 1, block >> 1 & 3, block >> 3
+        at += 3 + (1 if kind == 1 else size)
+    return at + (4 if flags >> 2 & 1 else 0)
+
+
 def unpack(data: bytes) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each record."""
     trained, at = dictionary_of(data)
     reader = zstandard.ZstdDecompressor(dict_data=trained)
+    view = memoryview(data)
     while at < len(data):
-        one = reader.decompressobj()
-        content = one.decompress(memoryview(data)[at:])
-        yield at, content
-        at = len(data) - len(one.unused_data)
+        end = frame_end(data, at)
+        yield at, reader.decompress(view[at:end])
+        at = end
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -102,7 +124,7 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
 PLACES = "page_id long, url string, file string, offset long, length long, bytes long, digest string"
 
 
-def written(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, dict_bytes: int = DICT_BYTES, sample_x: int = SAMPLE_X, level: int = LEVEL, date: str = DATE) -> DataFrame:
+def written(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, dict_bytes: int = DICT_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
     """Write the pages below ``path``; gives where each record went. Written once, when called."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +134,9 @@ def written(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, dict_byte
         def flush() -> pa.RecordBatch:
             nonlocal held, size, n
             name = f"{path}/part-{part:06d}-{n:04d}.warc.zst"
-            data, places = pack([r for r, *_ in held], dict_bytes, sample_x, level)
+            data, places = pack([info(date), *(r for r, *_ in held)], dict_bytes, level)
             files.write(name, data)
-            rows = [{"page_id": i, "url": u, "file": name, "offset": a, "length": b, "bytes": len(r), "digest": d} for (r, d, i, u), (a, b) in zip(held, places)]
+            rows = [{"page_id": i, "url": u, "file": name, "offset": a, "length": b, "bytes": len(r), "digest": d} for (r, d, i, u), (a, b) in zip(held, places[1:])]
             held, size, n = [], 0, n + 1
             return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
@@ -144,6 +166,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for at, content in unpack(data):
                     head, body = parse(content)
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     rows.append({"page_id": int(head["WARC-Page-ID"]) if head["WARC-Page-ID"] else None, "url": head["WARC-Target-URI"], "html": body.decode("utf-8", "replace"), "date": head["WARC-Date"], "digest": head["WARC-Block-Digest"], "file": name, "offset": at})
                 yield pa.RecordBatch.from_pylist(rows, schema=READ)
 

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from strataspark.llm import files, html, minhash, mixing, sharding, store, urls, warc
@@ -340,8 +341,6 @@ def test_warc_round_trip(spark):
     for r in got:
         data = files.read(r.file)
         trained, _ = warc.dictionary_of(data)
-        import zstandard
-
         one = zstandard.ZstdDecompressor(dict_data=trained).decompress(data[r.offset : r.offset + r.length])
         head, content = warc.parse(one)
         assert head["WARC-Type"] == "resource" and "Evil" not in head and by[r.file.rsplit("/", 1)[-1], r.offset].html == content.decode()
@@ -349,6 +348,26 @@ def test_warc_round_trip(spark):
     assert warc.written(pages.limit(0), store.fresh_path(spark, "warc-none")).count() == 0
 
 
+def test_unpacking_is_linear():
+    """Frames of all kinds: raw, repeated and compressed blocks, several blocks, empty and with a window."""
+    rng = random.Random(16)
+    records = [b"", b"a", b"z" * 500_000, rng.randbytes(400_000), b" ".join(w.encode() for w in make(rng, 60_000))] + [page(rng, body(rng, "div")[0]).encode() for _ in range(300)]
+    data, places = warc.pack(records)
+    got = list(warc.unpack(data))
+    assert [c for _, c in got] == records and [a for a, _ in got] == [a for a, _ in places] and all(warc.frame_end(data, a) == a + n for a, n in places)
+    for kw in ({"write_content_size": False}, {"write_checksum": True}, {"level": 19}):
+        frame = zstandard.ZstdCompressor(**kw).compress(records[4])
+        assert warc.frame_end(b"..." + frame + b"...", 3) == 3 + len(frame)
+    many, _ = warc.pack([b"record %d" % i for i in range(50_000)])
+    assert sum(1 for _ in warc.unpack(many)) == 50_000
+
+
+def test_schemes_of_side_files():
+    assert files.local("dbfs:/a/b") == "/dbfs/a/b" and files.local("file:///a") == "/a" and files.local("/a") == "/a" and files.local("s3a://b/c") is None
+    system, at = files.opened("s3a://bucket/some/key?region=eu-west-1")
+    assert system.type_name == "s3" and at == "bucket/some/key"
+
+
 def test_tiny_warc_has_no_dictionary():
     data, places = warc.pack([b"abc"])
     assert warc.dictionary_of(data)[0] is None and [c for _, c in warc.unpack(data)] == [b"abc"] and len(places) == 1
