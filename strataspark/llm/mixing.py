@@ -20,7 +20,7 @@ Tokens are counted as words between blanks.
 
 Defined results: a null source is a source of its own; documents without words (empty, null, blank)
 carry nothing to train on and get no position; sources missing from a given schedule have weight 0;
-repeated rows are placed one after the other; equal positions are ordered by source and hash. An empty table gives no rows.
+repeated rows are placed one after the other; positions are rounded to nine digits, and equal ones are ordered by source and hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, schedule: Mapping[str | None, Sequence[tuple[float, f
     root = F.sqrt(F.greatest(F.col("__p.x") * F.col("__p.x") + 2.0 * F.col("__p.rise") / F.col("__p.len") * want, F.lit(0.0)))
     step = F.when(want <= 0, F.lit(0.0)).otherwise(2.0 * want / (F.col("__p.x") + root))
     used = used.withColumn("__p", part).withColumn("position", F.round(F.least(F.col("__p.t") + step, F.lit(1.0)), 9))
-    return used.drop(g, h, b, c, "__p", "__plan", "__held", "__demand", "__before")
+    return used.drop(g, h, b, c, "__p", "__plan", "__held", "__demand", "__before", "__all")
 
 
 def in_order(placed: DataFrame, source: str = "source", seed: str = SEED, partitions: int | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ stretch holds the sources in their proportions, so cutting it into equal pieces
 is that of the whole to within one row a source.
 
 Ranks need no task that holds a whole source: the seeded hash also deals the rows into buckets, a
-bucket is ranked on its own, and the counts of the buckets before it (a small table) are added. The place of
-a row in the interleaved order follows from the counts of the sources alone: it is one plus the rows
-of each source with a smaller fractional rank.
+bucket is ranked on its own, and the counts of the buckets before it (a small table) are added. Rows are then range-sorted
+by fractional rank and written to the shared folder, and the place of a row follows from its place in its file and the rows
+of the files before. So nothing depends on the number of sources: each document may have a source of its own, or all one.
 
 Defined results: a null source is a source of its own; repeated rows are ranked next to each other;
 rows that share a doc_id come in order of the hash of their text, where there is one; an empty
@@ -17,6 +17,8 @@ table gives no rows; with fewer rows than shards some shards are empty. Extra co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +48,32 @@ def bucketed_running(df: DataFrame, group: str, order: list[str], bucket: str, t
 
 
 def bucket_offsets(df: DataFrame, group: str, bucket: str, weight: Column | None = None) -> DataFrame:
-    """(group, bucket, __before): what the buckets of a group before this one hold together."""
+    """(group, bucket, __before, __all): what the buckets of a group before this one hold together, and what all do."""
     totals = df.groupBy(group, bucket).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__held"))
-    w = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(group, bucket, F.coalesce(F.sum("__held").over(w), F.lit(0)).cast("long").alias("__before"))
+    w = Window.partitionBy(group)
+    before = F.sum("__held").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select(group, bucket, F.coalesce(before, F.lit(0)).cast("long").alias("__before"), F.sum("__held").over(w).cast("long").alias("__all"))
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df``, whose partitions are in order, written and read back with the place of each row from 1 in ``name``; and its rows.
+
+    The place is that of the row in its file plus the rows of the files before, which are named in the order of partitions.
+    """
+    cut = store.cut(df, "ordered")
+    file = F.col("_metadata.file_name")
+    counts = {r[0]: r[1] for r in cut.groupBy(file).count().collect()}
+    before, rows = 0, []
+    for f in sorted(counts, key=lambda f: [int(x) for x in re.findall(r"^part-(\d+)|-c(\d+)\.", f) for x in x if x]):
+        rows.append((f, before))
+        before += counts[f]
+    spark = df.sparkSession
+    if not rows:
+        return cut.withColumn(name, F.lit(0).cast("long")), 0
+    # one row a file
+    offsets = spark.createDataFrame(rows, "__file string, __first long")
+    placed = cut.withColumn("__file", file).withColumn("__row", F.col("_metadata.row_index")).join(F.broadcast(offsets), "__file")
+    return placed.withColumn(name, F.col("__first") + F.col("__row") + 1).drop("__file", "__first", "__row"), before
 
 
 @store.shielded
@@ -64,29 +88,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, source: str
     light = docs.select("doc_id", source).select(stratum(source).alias(g), F.substring(seeded(seed), 1, digits).alias(b))
     tie = [F.xxhash64("text")] if "text" in docs.columns else []
     ranked = bucketed_running(keyed, g, [h, "doc_id", *tie], b, r, bucket_offsets(light, g, b))
-    # one row a source; its counts are constants of the plan
-    counts = sorted((x[0], x[1]) for x in light.groupBy(g).count().collect())
-    n = sum(c for _, c in counts)
-    if not n:
-        return docs.withColumn("position", F.lit(0).cast("long")).withColumn("shard", F.lit(0))
-    own = F.create_map(*[F.lit(v) for pair in counts for v in pair])
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).cast("long").alias("n")) for s, c in counts])
-    out = ranked.withColumn(f, (F.col(r) - 0.5) / own[F.col(g)])
-
-    def before(acc: Column, x: Column) -> Column:
-        """Rows of a source before this row, by the same floating-point fractions that a sort would compare."""
-        q = F.floor(F.col(f) * x["n"] + 0.5)
-        ahead = lambda k: ((k >= 1) & (k <= x["n"]) & (((k - 0.5) / x["n"] < F.col(f)) | (((k - 0.5) / x["n"] == F.col(f)) & (x["s"] < F.col(g))))).cast("long")
-        return acc + F.greatest(q - 1, F.lit(0)) + ahead(q) + ahead(q + 1)
-
-    place = F.aggregate(table, F.lit(0).cast("long"), before)
-    out = out.withColumn("position", place + 1)
-    return out.withColumn("shard", F.floor((F.col("position") - 1) * shards / F.lit(n)).cast("int")).drop(g, h, b, r, f, "__before")
-
-
-def written_by_shard(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
-    """:func:`sharded`, with each shard in one partition, in order."""
-    return sharded(docs, shards, **how).repartitionById(shards, F.col("shard")).sortWithinPartitions("position")
+    ordered = ranked.withColumn(f, (F.col(r) - 0.5) / F.col("__all")).repartitionByRange(f, g).sortWithinPartitions(f, g)
+    out, n = numbered(ordered.drop(g, h, b, r, f, "__before", "__all"), "position")
+    return out.withColumn("shard", F.floor((F.col("position") - 1) * shards / F.lit(max(1, n))).cast("int"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

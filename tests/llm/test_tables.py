@@ -158,8 +158,19 @@ def test_shards_match_the_mixture(spark):
         assert len(own) == 50
         for s, n in total.items():
             assert abs(sum(r.source == s for r in own) - n / 8) <= 2
-    files_ = sharding.written_by_shard(docs, 8).withColumn("p", F.spark_partition_id()).groupBy("shard").agg(F.countDistinct("p").alias("n"))
-    assert {r.n for r in files_.collect()} == {1}
+
+
+def test_shards_lie_in_contiguous_files(spark, tmp_path):
+    """Rows are written in order of position, so that a folder a shard takes no further shuffle."""
+    docs = frame(spark)
+    sharding.sharded(docs, 8).write.partitionBy("shard").parquet(f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").withColumn("f", F.col("_metadata.file_path")).groupBy("f").agg(F.count("*").alias("n"), F.max("position").alias("z"), F.min("position").alias("a"), F.countDistinct("shard").alias("s")).collect()
+    assert all(r.z - r.a + 1 == r.n and r.s == 1 for r in back) and sum(r.n for r in back) == docs.count()
+
+
+def test_each_document_its_own_source(spark):
+    docs = spark.createDataFrame([(i, f"domain{i % 300}.org" if i < 400 else "hot", "w") for i in range(600)], "doc_id long, source string, text string")
+    against(sharding.OP3_SQL, docs, sharding.sharded(docs).select("doc_id", "source", "position", "shard"))
 
 
 def test_sharding_edges(spark):
@@ -213,8 +224,15 @@ def test_capped_source_lasts(spark):
     assert sum(p[3] for p in parts) == pytest.approx(1) and sum(p[3] + p[4] for p in parts) == pytest.approx(1)
 
 
+def test_equal_positions_come_by_source_and_hash(spark):
+    placed = spark.createDataFrame([(i, "ab"[i % 2], i % 3, 0.5) for i in range(60)], "doc_id long, source string, epoch int, position double")
+    got = [(r.source, r.h, r.epoch) for r in mixing.in_order(placed, partitions=1).withColumn("h", sharding.seeded(mixing.SEED)).collect()]
+    assert got == sorted(got)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None, "x y"), (1, None, "x y"), (None, "s", "a"), (2, "s", ""), (3, "s", None), (4, "s", "w " * 50_000)], "doc_id long, source string, text string")
+    assert mixing.mixed(docs).columns == [*docs.columns, *mixing.ADDED]
     rows = mixing.mixed(docs).collect()
     assert {r.doc_id for r in rows} <= {1, None, 4} and sum(r.doc_id == 4 for r in rows) >= 1 and all(0 <= r.position <= 1 for r in rows)
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs.where("doc_id in (2, 3)")).count() == 0
