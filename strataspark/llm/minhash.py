@@ -14,7 +14,8 @@
 
 Defined results: documents without words (empty, null, only punctuation) are never duplicates;
 the document kept in a group is the one of least ``doc_id`` (null ids come last, then the least
-text hash); repeated rows of one document keep one row; extra columns are carried along untouched.
+text hash); rows of equal doc_id and text are one document, of which the row stays whose columns as JSON come first, so that
+rows repeated whole keep one; extra columns are carried along untouched.
 Node and band keys have 64 bits; two different word sequences share one with probability 2**-64.
 """
 
@@ -199,7 +200,9 @@ def components(edges: DataFrame) -> DataFrame:
         done = now
         now = store.cut(small, "edges")
         store.discard(done)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+    out = store.cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct()), "components")
+    store.discard(now)
+    return out
 
 
 def _cross(first: pd.DataFrame, n: int, threshold: float, miss: float, batch: int) -> pd.DataFrame:
@@ -221,7 +224,7 @@ def _cross(first: pd.DataFrame, n: int, threshold: float, miss: float, batch: in
 
 
 def near_groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, miss: float = MISS, batch: int = BATCH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_hash, component, size) for each document that has words: its group and the group's rows."""
+    """(doc_id, text_hash, component) for each row that has words: its group."""
     n = bands * rows
     signed = store.cut(signatures(docs, k, bands, rows), "signed")
     sigs = signed.select("node", "sig").dropDuplicates(["node"])
@@ -244,17 +247,23 @@ def near_groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROW
 
     texts = store.cut(texts_of(alike), "texts")
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
-    edges = store.cut(verified(best, texts, k, threshold), "verified")
-    found = store.cut(components(edges), "components")
+    made = [signed, multi, alike, texts]
+
+    def kept(table: DataFrame) -> DataFrame:
+        made.append(table)
+        return table
+
+    edges = kept(store.cut(verified(best, texts, k, threshold), "verified"))
+    found = kept(components(edges))
 
     def crossing(pairs: DataFrame) -> DataFrame:
         ca, cb = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    more = store.cut(verified(crossing(alike.select("a", "b").join(best, ["a", "b"], "left_anti")), texts, k, threshold), "verified")
+    more = kept(store.cut(verified(crossing(alike.select("a", "b").join(best, ["a", "b"], "left_anti")), texts, k, threshold), "verified"))
     if not more.isEmpty():
         edges = edges.union(more)
-        found = store.cut(components(edges), "components")
+        found = kept(components(edges))
 
     mixed = multi.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = mixed.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").withColumn("size", F.count("*").over(w)).select("key", "node", "component", "size")
@@ -262,40 +271,48 @@ def near_groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROW
     mixed = mixed.withColumn("g", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     mixed = mixed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"))
     crossed = mixed.join(sigs, "node").groupBy("key", "i", "j").applyInPandas(lambda pdf: _cross(pdf, n, threshold, miss, batch), "a long, b long").distinct()
-    rest = store.cut(crossed.join(alike.select("a", "b"), ["a", "b"], "left_anti"), "crossed")
+    rest = kept(store.cut(crossed.join(alike.select("a", "b"), ["a", "b"], "left_anti"), "crossed"))
     if not rest.isEmpty():
-        late = store.cut(verified(rest, texts_of(rest), k, threshold), "verified")
+        late = kept(store.cut(verified(rest, texts_of(rest), k, threshold), "verified"))
         if not late.isEmpty():
-            found = store.cut(components(edges.union(late)), "components")
-    store.discard(multi, alike, texts)
-    return signed.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
-
+            found = kept(components(edges.union(late)))
+    out = store.cut(signed.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component")), "groups")
+    store.discard(*made)
+    return out
 
-def duplicates(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, text_hash, keep_id, keep_hash) of each row that goes, with the row that stays for it.
 
-    A row repeated whole is one row here; :func:`deduplicated` keeps one of its copies.
-    """
-    groups = near_groups(docs, **how)
+def leavers(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, keep_id, keep_hash) of each row that goes, with the row that stays for it."""
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))
     kept = groups.groupBy("component").agg(keep.alias("k"), F.max(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("z")).where("k <> z").select("component", F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
     out = groups.join(kept, "component")
     return out.where(~(out.doc_id.eqNullSafe(out.keep_id) & (out.text_hash == out.keep_hash))).select("doc_id", "text_hash", "keep_id", "keep_hash")
 
 
+def duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, text_hash, keep_id, keep_hash) of each row that goes, with the row that stays for it.
+
+    Rows of equal doc_id and text are one document here; :func:`deduplicated` keeps one of them.
+    """
+    return leavers(near_groups(docs, **how))
+
+
 @store.shielded
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, all columns kept."""
-    gone = duplicates(docs, **how).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()
+    groups = near_groups(docs, **how)
     key, = store.unused(docs, "__text_hash")
-    with_key = docs.withColumn(key, F.xxhash64(F.col("text")))
-    # only rows with words can repeat as duplicates; those without are left alone
-    worded = F.col("text").rlike(r"[\p{L}\p{N}\p{M}_]")
-    repeated = with_key.where(worded).groupBy("doc_id", key).count().where("count > 1").isEmpty() is False
-    rest = with_key.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col(key) == F.col("__gone_hash")), "left_anti")
-    if repeated:
-        rest = rest.where(worded).dropDuplicates(["doc_id", key]).union(rest.where(~worded | F.col("text").isNull()))
-    return rest.drop(key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__hash"))
+    pairs = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = pairs(leavers(groups)).distinct()
+    rest = docs.withColumn(key, F.xxhash64(F.col("text"))).join(gone, same, "left_anti")
+    # documents of several rows, which only those with words can be
+    several = store.cut(pairs(groups).groupBy("__id", "__hash").count().where("count > 1").drop("count"), "repeated")
+    if several.isEmpty():
+        return rest.drop(key)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rest.join(several, same, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col(key).alias("__hash")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return rest.join(several, same, "left_anti").drop(key).union(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,17 +17,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate files; set to a temporary one only in local mode."""
+    """The folder for intermediate files; a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="strataspark-")
-    atexit.register(shutil.rmtree, made[7:], True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        made = tempfile.mkdtemp(prefix="strataspark-")
+        atexit.register(shutil.rmtree, made, True)
+        _made[app] = f"file://{made}"
+    return _made[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -99,6 +99,23 @@ def test_near_duplicate_edges(spark):
     assert minhash.deduplicated(docs.limit(0)).count() == 0 and minhash.duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_document(spark):
+    """Equal doc_id and text, other columns differ: the least as JSON stays, in whatever order they come."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "b", None), (1, text, "a", [2]), (1, text, "a", [1]), (2, "solo piece of other words here", None, None), (2, "solo piece of other words here", None, None), (3, "!!", "x", None), (3, "!!", "x", None), (None, "null id with some words", "z", None), (None, "null id with some words", "y", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, extra string, list array<int>")
+        out = minhash.deduplicated(docs)
+        assert out.schema == docs.schema
+        assert sorted(map(str, ((r.doc_id, r.extra, r.list) for r in out.collect()))) == sorted(map(str, [(1, "a", [1]), (2, None, None), (3, "x", None), (3, "x", None), (None, "y", None)]))
+
+
+def test_nothing_is_left_behind(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert minhash.near_groups(spark.createDataFrame(corpus, "doc_id long, text string")).count() == len(corpus)
+    assert [p.name.split("-")[0] for p in (tmp_path / "strataspark").iterdir()] == ["groups"]
+
+
 def test_posterior_bounds():
     least = minhash.least_matches(0.55, 0.005, 128, 16)
     assert len(least) == 8 and list(least) == sorted(least)
