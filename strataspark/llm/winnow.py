@@ -3,9 +3,9 @@
 A text is reduced to its letters and digits in lower case. Each run of ``k`` of them gets a hash; of
 every ``window`` consecutive hashes the least is chosen, the rightmost of equal ones. Two texts that
 share ``window + k - 1`` reduced characters share a fingerprint, and no match shorter than ``k`` is
-ever seen. Positions are those of the first character of the run in the original text.
+ever seen, except that a text of fewer has one fingerprint, of all it has, so that short copies are seen whole. Positions are those of the first character of the run in the original text.
 
-Defined results: fewer than ``k`` reduced characters (empty and null texts too) give empty arrays;
+Defined results: without letters and digits (empty and null texts too) there are empty arrays;
 fewer than ``window`` hashes count as one window. Repeated rows give repeated rows; extra columns
 aren't read.
 """
@@ -54,6 +54,11 @@ def fingerprints(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np
         for i in range(len(texts)):
             a, b = int(first[i]), int(first[i + 1]) - k + 1
             if b - a <= 0:
+                z = int(first[i + 1])
+                if z > a:  # the number of characters is mixed in, so that no longer run has this hash
+                    hashes.append(mix(mix((sums[z : z + 1] - sums[a]) * q[a]) + np.uint64(z - a)))
+                    positions.append(where[a : a + 1] - at[i])
+                    counts[i + 1] = 1
                 continue
             if b - a >= window:
                 m = whole[a : b - window + 1]

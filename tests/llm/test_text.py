@@ -68,6 +68,8 @@ def brute_winnow(text, k, window):
         cp = np.array([ord(c) for c in g], np.uint64) + np.uint64(1)
         p, _ = textvec.powers(k + 1)
         hashes.append(int(textvec.mix(np.array([(cp * p[:k]).sum(dtype=np.uint64)]))[0]))
+    if kept and not hashes:
+        return [("whole", "".join(c for _, c in kept))], [kept[0][0]]
     out = []
     for i in range(max(1, len(hashes) - window + 1) if hashes else 0):
         part = hashes[i : i + window]
@@ -83,9 +85,29 @@ def test_winnow_is_brute_force(k, window):
     rng = random.Random(k)
     texts = [t or "" for t in ODD if len(t or "") < 1000] + ["".join(rng.choice("ab c.") for _ in range(rng.randrange(200))) for _ in range(60)]
     h, pos, at = winnow.fingerprints(texts, k, window)
+    short = {}
     for i, t in enumerate(texts):
-        want = brute_winnow(t, k, window)
-        assert (h[at[i] : at[i + 1]].tolist(), pos[at[i] : at[i + 1]].tolist()) == want, t
+        hashes, places = brute_winnow(t, k, window)
+        got = h[at[i] : at[i + 1]].tolist()
+        if hashes and isinstance(hashes[0], tuple):  # texts of fewer than k: one hash a content
+            assert len(got) == 1 and short.setdefault(hashes[0][1], got[0]) == got[0]
+        else:
+            assert got == hashes, t
+        assert pos[at[i] : at[i + 1]].tolist() == places, t
+    assert len(set(short.values())) == len(short)
+
+
+def test_winnow_of_long_texts_and_repeated_rows(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefg hij.") for _ in range(30_000))
+    h, pos, at = winnow.fingerprints(["x", long, long], 8, 16)
+    want = brute_winnow(long, 8, 16)
+    assert (h[1 : at[2]].tolist(), pos[1 : at[2]].tolist()) == want and h[at[2] :].tolist() == want[0] and at[1] == 1
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "Short one!"), (3, "short... ONE"), (4, "_ !")], "doc_id long, text string")
+    got = [(r.doc_id, tuple(r.hashes), tuple(r.positions)) for r in winnow.fingerprinted(docs).collect()]
+    assert len(got) == 5 and got.count(next(x for x in got if x[0] == 1)) == 2
+    by = {i: (x, p) for i, x, p in got}
+    assert by[2][0] == by[3][0] and len(by[2][0]) == 1 and by[4] == ((), ())
 
 
 def test_winnow_guarantee(spark):
