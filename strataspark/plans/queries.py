@@ -5,7 +5,6 @@ Thresholds are parameters; those used here select some rows of the derived input
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,61 +15,18 @@ from strataspark.functions import paths
 from strataspark.operators import api, chains, cochange, delta, graph, health, insights, modules, patterns, resolve, risk, rules, signals
 from strataspark.plans import derived as d
 from strataspark.plans.derived import Tables
+from strataspark.plans.registry import ORACLES, QUERIES, query, rounded
 from strataspark.sources import extract, files, history
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(c: str, digits: int = 6):
-    return F.round(c, digits).alias(c)
-
-
 # -- sources and extraction
 
 
 @query(f"WITH {d.PAGE_FILES}, h AS (SELECT path, regexp_extract_all(content, 'href=\"([^\"]*)\"', 1) AS l FROM files) SELECT path, CAST(i - 1 AS INTEGER) AS ord, l[i] AS source, CASE WHEN starts_with(l[i], '@') THEN array_to_string(string_split(l[i], '/')[1:2], '/') ELSE string_split(l[i], '/')[1] END AS package FROM h, range(1, len(l) + 1) t(i)")
-def extract_hrefs(t: Tables) -> DataFrame:
+def package_names(t: Tables) -> DataFrame:
     rows = d.page_files(t).select("path", F.posexplode(F.regexp_extract_all("content", F.lit('href="([^"]*)"'), 1)).alias("ord", "source"))
     return rows.select("path", "ord", "source", resolve.package_name("source").alias("package"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*(//|#|\*)') THEN 'comment' WHEN regexp_matches(line, '^\s*(import|from|use)\s') THEN 'import' WHEN regexp_matches(line, '\w+\s*=\s*\w+') THEN 'assignment' WHEN regexp_matches(line, '\w+@\w+') THEN 'address' ELSE 'text' END AS kind FROM l)
-SELECT doc_id, kind, count(*) AS lines FROM k GROUP BY 1, 2""")
-def line_ladder(t: Tables) -> DataFrame:
-    lines = t.documents.where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    c = F.col("line")
-    kind = F.when(F.trim("line") == "", "blank").when(c.rlike(r"^\s*(//|#|\*)"), "comment").when(c.rlike(r"^\s*(import|from|use)\s"), "import").when(c.rlike(r"\w+\s*=\s*\w+"), "assignment").when(c.rlike(r"\w+@\w+"), "address").otherwise("text")
-    return lines.select("doc_id", kind.alias("kind")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("lines"))
-
-
-@query()
-def parse_documents(t: Tables) -> DataFrame:
-    """Texts through the source parsers: most are no Python and are read line by line, as ``parse_method`` says."""
-    rows = t.documents.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit(False).alias("is_support"), F.col("text").alias("content"))
-    return extract.parsed(rows).select("path", "parse_method", F.size("imports").alias("imports"), F.size("exports").alias("exports"))
-
-
-@query(f"""WITH {d.PAGE_FILES}, p AS (SELECT path, regexp_replace(path, '[?#].*$', '') AS clean FROM files)
-SELECT path, regexp_extract(clean, '(\\.[^./]+)$', 1) AS ext, CASE WHEN contains(clean, '/') THEN regexp_replace(clean, '/[^/]*$', '') ELSE '.' END AS dir,
-  regexp_matches(clean, '(?i)(^|/)(fr|es)/') AS support, regexp_matches(clean, '(?:^|/)blog\\.[^/]*/') AND NOT regexp_matches(clean, '(?:^|/)[^/]*ththan[^/]*/') AS ignored FROM p""")
-def catalogue_predicates(t: Tables) -> DataFrame:
-    p = d.page_files(t).select("path", F.regexp_replace("path", "[?#].*$", "").alias("clean"))
-    return p.select("path", paths.extension("clean").alias("ext"), paths.dirname("clean").alias("dir"), F.col("clean").rlike("(?i)(^|/)(fr|es)/").alias("support"), files.is_ignored("clean", ("# hosts", "blog.*/", "!*ththan*/")).alias("ignored"))
-
-
 @query("SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 40, '0') AS hash, l_partkey || '.py' AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate IS NOT NULL")
 def parse_log(t: Tables) -> DataFrame:
     """Orders written as the log of a repository, read back; a log of its own for each order."""
@@ -105,24 +61,9 @@ def resolve_relative(t: Tables) -> DataFrame:
     return resolve.resolved(imp, own).select("path", "source", "target")
 
 
-@query("""WITH roots AS (SELECT DISTINCT lower(r_name) AS package, 'lib/' || r_name AS root FROM region), i AS (SELECT c_custkey, lower(r_name) || '.' || n_name AS source FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
-SELECT c_custkey, source, root || '/' || string_split(source, '.')[2] AS base FROM i JOIN roots ON starts_with(source, package || '.')""")
-def resolve_prefix(t: Tables) -> DataFrame:
-    """Prefix resolution as an equi-join on the first segment."""
-    roots = t.region.select(F.lower("r_name").alias("package"), F.concat(F.lit("lib/"), "r_name").alias("root"))
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lower("r_name"), F.lit("."), "n_name").alias("source"))
-    imp = t.customer.join(n, "c_nationkey").select("c_custkey", "source", F.substring_index("source", ".", 1).alias("package"))
-    return imp.join(roots, "package").select("c_custkey", "source", F.concat("root", F.lit("/"), F.substring_index("source", ".", -1)).alias("base"))
-
-
 # -- graph
 
 
-@query(f"WITH {d.EDGES} SELECT src, dst, CAST(weight AS BIGINT) AS weight FROM edges")
-def edge_weights(t: Tables) -> DataFrame:
-    return d.edges(t)
-
-
 @query(f"WITH {d.EDGES} SELECT dst AS node, count(DISTINCT src) AS fan_in FROM edges GROUP BY 1")
 def fan_in(t: Tables) -> DataFrame:
     return graph.fan_in(d.edges(t))
@@ -182,11 +123,6 @@ def module_ids(t: Tables) -> DataFrame:
     return d.page_files(t).select("path", modules.module_id("path", ("en", "de")).alias("module"))
 
 
-@query(f"WITH {d.MEMBERS} SELECT module, count(*) AS files, min(path) AS first_file FROM members GROUP BY 1")
-def module_rollup(t: Tables) -> DataFrame:
-    return d.members(t).groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_file"))
-
-
 @query(f"WITH {d.MEMBERS}, c AS (SELECT module, language, count(*) AS n, min(path) AS p FROM members GROUP BY 1, 2) SELECT module, arg_min(language, struct_pack(a := -n, b := p)) AS language FROM c GROUP BY 1")
 def module_language(t: Tables) -> DataFrame:
     return modules.primary_language(d.members(t))
@@ -267,13 +203,6 @@ def sig_fan_in(t: Tables) -> DataFrame:
 
 
 
-@query(f"""WITH {d.MODULE_TABLE}, u AS (SELECT module AS id, count(DISTINCT language) AS used FROM members GROUP BY 1), x AS (SELECT modtab.*, coalesce(used, 0) AS used, greatest(0, n_exports - coalesce(used, 0)) AS unused FROM modtab LEFT JOIN u USING (id) WHERE n_exports > 0)
-SELECT 'narrow-api' AS kind, id AS scope, 0.5::DOUBLE AS strength FROM x WHERE n_exports <= 5 UNION ALL SELECT 'unused-exports', id, 0.4 FROM x WHERE unused > n_exports * 0.5 AND unused >= 3""")
-def sig_exports(t: Tables) -> DataFrame:
-    used = d.members(t).groupBy(F.col("module").alias("id")).agg(F.countDistinct("language").alias("used"))
-    return _plain(signals.export_surface(d.module_table(t), used))
-
-
 @query("""WITH f AS (SELECT DISTINCT replace(p_brand, '#', '') AS dir, replace(p_name, ' ', '_') || '.' || CASE WHEN p_type IN ('SMALL', 'LARGE', 'PROMO', 'MEDIUM') THEN 'part' ELSE lower(p_type) END || '.ts' AS file FROM part),
 k AS (SELECT dir, regexp_extract(file, '\\.([a-z]+)\\.[a-z]+$', 1) AS suffix, count(*) AS m FROM f GROUP BY 1, 2), n AS (SELECT dir, count(*) AS total FROM f GROUP BY 1 HAVING count(*) >= 3)
 SELECT 'naming-pattern' AS kind, dir AS scope, round(m / total::DOUBLE * 0.7, 6) AS strength FROM k JOIN n USING (dir) WHERE m / total::DOUBLE >= 0.4 AND m >= 2""")
@@ -295,16 +224,6 @@ def _pattern_modules(t: Tables) -> DataFrame:
     return t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("id"), F.concat(word, F.lit("x")).alias("name")).distinct()
 
 
-@query(f"""WITH {_PATTERN_MODULES}, {_KEYWORDS}, hit AS (SELECT pattern, layer FROM pm JOIN kw ON contains(name, word)),
-n AS (SELECT pattern, count(DISTINCT layer) AS k, max(CAST(layer = 'ports' AS INTEGER)) AS ports FROM hit GROUP BY 1)
-SELECT pattern, round(k / {_SIZES}::DOUBLE * CASE WHEN pattern = 'layered' THEN 0.8 ELSE 1 END, 6) AS confidence FROM n WHERE k >= 2 AND (pattern <> 'hexagonal' OR ports = 1)
-UNION ALL SELECT 'feature-based', 1.0::DOUBLE""")
-def pattern_confidence(t: Tables) -> DataFrame:
-    """Modules named after the types of parts, without dependencies, so that feature-based fits too."""
-    none = t.spark.createDataFrame([], "module string, dep string")
-    return patterns.confidences(_pattern_modules(t), none).select("pattern", rounded("confidence"))
-
-
 @query(f"""WITH {_PATTERN_MODULES}, {_KEYWORDS}, hit AS (SELECT DISTINCT id, layer FROM pm JOIN kw ON contains(name, word) WHERE pattern = 'clean-architecture')
 SELECT 'arch-pattern-match' AS kind, a.id || '|' || b.id AS scope, 0.9::DOUBLE AS strength FROM hit a JOIN hit b ON a.layer = 'domain' AND b.layer IN ('infrastructure', 'interface')""")
 def pattern_signals(t: Tables) -> DataFrame:
@@ -524,13 +443,6 @@ def ins_hidden_coupling(t: Tables) -> DataFrame:
     return insights.unlinked_contracts(c, e, none, T).select("file_a", "file_b", "occurrences")
 
 
-@query(f"""WITH {d.MODULE_TABLE}, u AS (SELECT id, n_exports, n_exports // 4 AS used FROM modtab)
-SELECT CASE WHEN n_exports - used > n_exports * 0.7 AND n_exports - used >= 20 THEN 'warning' ELSE 'info' END AS severity, 'over-exposed-api' AS metric, 'over-exposed-api:' || id AS id FROM u WHERE n_exports >= 3 AND n_exports - used > n_exports * 0.5 AND n_exports - used >= 3""")
-def ins_over_exposed(t: Tables) -> DataFrame:
-    m = d.module_table(t)
-    return _short(insights.over_exposed(m, m.select("id", F.floor(F.col("n_exports") / 4).cast("int").alias("used")), T))
-
-
 @query(f"WITH {d.METRICS}, top AS (SELECT sum(fan_in) AS a FROM (SELECT fan_in FROM risks ORDER BY fan_in DESC, score DESC, file LIMIT 3)) SELECT CASE WHEN a / (SELECT sum(fan_in) FROM risks)::DOUBLE > 0.5 THEN 'critical' ELSE 'warning' END AS severity, 'concentration-risk' AS metric, 'concentration-risk:0' AS id FROM top")
 def ins_concentration(t: Tables) -> DataFrame:
     return _short(insights.concentration(_risks(t), _part_files(t), T))
@@ -566,19 +478,6 @@ def _health_rules(t: Tables) -> DataFrame:
 _HEALTH = d.MODULE_TABLE + """, hr AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, mods.id AS m, o_orderstatus = 'P' AS bad, CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '5-LOW' THEN 5 ELSE 0 END AS p FROM orders JOIN customer ON c_custkey = o_custkey JOIN mods ON n_nationkey = c_nationkey)"""
 
 
-@query(f"""WITH {_HEALTH}, a AS (SELECT avg(n_files) AS av FROM modtab) SELECT CAST(greatest(0, least(100, floor(100 - sum(CASE WHEN bad THEN p * 1.5::DOUBLE * greatest(0.5, n_files / greatest(1, av)) ELSE 0 END) + 0.5))) AS INTEGER) AS overall, 'stable' AS trend,
-count(*) FILTER (p = 0) AS observations, count(*) FILTER (p = 5) AS conventions, count(*) FILTER (p = 5 AND bad) AS convention_violations, count(*) FILTER (p = 15) AS rules, count(*) FILTER (p = 15 AND bad) AS rule_violations FROM hr JOIN modtab ON modtab.id = m, a""")
-def health_overall(t: Tables) -> DataFrame:
-    none = t.spark.createDataFrame([], "metric string")
-    return health.health(_health_rules(t), d.module_table(t), none)
-
-
-@query(f"WITH {_HEALTH}, v AS (SELECT m, sum(p * 1.5::DOUBLE) AS lost, count(*) AS n FROM hr WHERE bad GROUP BY 1) SELECT id AS module, CAST(greatest(0, least(100, floor(100 - coalesce(lost, 0) + 0.5))) AS INTEGER) AS score, CAST(coalesce(n, 0) AS INTEGER) AS violations FROM modtab LEFT JOIN v ON v.m = id")
-def module_scores(t: Tables) -> DataFrame:
-    none = t.spark.createDataFrame([], "id string, metric string, severity string, file string, module string")
-    return health.module_scores(_health_rules(t), d.module_table(t), none)
-
-
 @query(f"WITH {d.HALVES} SELECT 'new' AS change, src, dst FROM b ANTI JOIN a USING (src, dst) UNION ALL SELECT 'removed', src, dst FROM a ANTI JOIN b USING (src, dst)")
 def delta_edges(t: Tables) -> DataFrame:
     return delta.delta_edges(*d.halves(t))
@@ -615,14 +514,6 @@ def get_dependencies(t: Tables) -> DataFrame:
     return api.get_dependencies(d.edges(t).withColumn("type", F.lit("import")), "nation/1")
 
 
-@query(f"WITH {d.EDGES}, m AS (SELECT src AS file FROM edges UNION SELECT dst FROM edges), n AS (SELECT dst AS file, count(DISTINCT src) AS k FROM edges GROUP BY 1) SELECT string_split(file, '/')[1] AS module, file, coalesce(k, 0) AS dependents FROM m LEFT JOIN n USING (file)")
-def check_impact(t: Tables) -> DataFrame:
-    """Direct dependents of every file at once."""
-    e = d.edges(t)
-    m = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct().select(F.substring_index("path", "/", 1).alias("module"), "path")
-    return api.impacted(e, m)
-
-
 @query(f"WITH {_TREND}, p AS (SELECT id, tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY confidence DESC, id) AS INTEGER) AS place FROM tiered WHERE late) SELECT * FROM p WHERE place <= 10")
 def top_rules_per_tier(t: Tables) -> DataFrame:
     return api.top_per_tier(_confidences(t, True)).select("id", "tier", "place")
@@ -640,11 +531,8 @@ def depended_on_by(t: Tables) -> DataFrame:
     return api.depended_on_by(e, m, "nation")
 
 
-@query("""WITH l AS (SELECT lower(p_type) || '/' || p_name AS path, p_partkey FROM part) SELECT p_partkey, regexp_replace(path, '^.*/', '') AS base, CASE WHEN starts_with(path, 'promo/') THEN 'promo' ELSE 'other' END AS role FROM l""")
-def path_functions(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", F.concat(F.lower("p_type"), F.lit("/x/../"), "p_name").alias("path")).withColumn("path", paths.normalise("path"))
-    return p.select("p_partkey", paths.basename("path").alias("base"), F.when(F.col("path").startswith("promo/"), "promo").otherwise("other").alias("role"))
-
-
 #: The query that ``entry`` runs: the files that carry the most.
 FLAGSHIP = "hot_files"
+
+# registers its queries
+from strataspark.plans import code  # noqa: E402, F401
