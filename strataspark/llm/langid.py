@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .textvec import alpha_table, code_points, lower_table, release, slices
 
-BLOCK, TRAIN_CHARS, TRAIN_DOCS, HELD_DOCS, REJECT_SHARE, SIGMAS = 256, 30_000, 150, 60, 0.8, 3.0
+BLOCK, TRAIN_CHARS, TRAIN_DOCS, HELD_DOCS, REJECT_SHARE, SIGMAS = 256, 30_000, 150, 60, 0.65, 2.0
 
 
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
