@@ -75,9 +75,9 @@ def closure(edges: DataFrame) -> DataFrame:
         seen = seen.union(frontier)
 
 
-def transitive_impact(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def transitive_impact(edges: DataFrame, nodes: DataFrame | None = None, local: int | None = None) -> DataFrame:
     """(node, impact): how many other nodes reach it; 0 for those of ``nodes`` that none reaches."""
-    few = _in_memory(edges)
+    few = _in_memory(edges, local)
     if few is not None:
         reached = edges.sparkSession.createDataFrame(list(smallgraph.impact(few).items()), "node string, impact long")
         if nodes is None:
@@ -103,9 +103,9 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return now
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: int | None = None) -> DataFrame:
     """(node, component) of nodes on cycles: those that reach one another share the least of their names."""
-    few = _in_memory(edges)
+    few = _in_memory(edges, local)
     if few is not None:
         return edges.sparkSession.createDataFrame(list(smallgraph.components(few).items()), "node string, component string")
     reach = cut(closure(cyclic_core(edges)), "reach")
@@ -113,14 +113,14 @@ def components(edges: DataFrame) -> DataFrame:
     return reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, local: int | None = None) -> DataFrame:
     """(component, files, length): of each strongly connected component a shortest cycle through its least
     node, of equal ones the least; ``files`` ends with the node it begins with."""
-    few = _in_memory(edges)
+    few = _in_memory(edges, local)
     if few is not None:
         return edges.sparkSession.createDataFrame(smallgraph.cycles(few), "component string, files array<string>, length int")
     core = cyclic_core(edges)
-    c = cut(components(core), "scc")
+    c = cut(components(core, local), "scc")
     inside = core.join(c.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd").select(F.col("cs").alias("component"), "src", "dst")
     inside = cut(inside, "scc-edges")
     walk = c.where("node = component").select("component", F.col("node").alias("src"), F.array("node").alias("files"))
@@ -146,13 +146,13 @@ def acyclic(edges: DataFrame) -> DataFrame:
     return e.join(cs, "src", "left").join(cd, "dst", "left").where("cs is null or cd is null or cs <> cd").select("src", "dst", "ord")
 
 
-def longest_chains(edges: DataFrame) -> DataFrame:
+def longest_chains(edges: DataFrame, local: int | None = None) -> DataFrame:
     """(node, length, next): nodes of the longest chain that begins at each node, and its second node.
 
     Edges on cycles are left out, so that every chain is simple; of equally long chains the one imported first
     counts, then the one with the least next node.
     """
-    few = _in_memory(edges)
+    few = _in_memory(edges, local)
     if few is not None:
         return edges.sparkSession.createDataFrame([(n, k, m) for n, (k, m) in smallgraph.longest(few).items()], "node string, length int, next string")
     e = cut(edges.groupBy("src", "dst").agg((F.min("ord") if "ord" in edges.columns else F.lit(0)).alias("ord")), "chains")
@@ -212,9 +212,9 @@ def critical_paths(edges: DataFrame, most: int = 10, least: int = 3) -> DataFram
     return walk.select("files", F.col("length").cast("int").alias("length"), F.element_at("files", -1).alias("root_file"), F.element_at("files", 1).alias("leaf_file"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> DataFrame:
     """(level, node): peel off what nothing left depends on, from level 1; what is on cycles comes last together."""
-    few = _in_memory(edges)
+    few = _in_memory(edges, local)
     some = nodes.select("node").distinct().limit(LOCAL_EDGES + 1).collect() if few is not None else []
     if few is not None and len(some) <= LOCAL_EDGES:
         return edges.sparkSession.createDataFrame(smallgraph.layers([r.node for r in some], few), "level int, node string")

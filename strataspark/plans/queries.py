@@ -88,11 +88,6 @@ def longest_chain_length(t: Tables) -> DataFrame:
     return graph.longest_chains(d.edges(t)).select("node", "length")
 
 
-@query()
-def critical_paths(t: Tables) -> DataFrame:
-    return graph.critical_paths(d.edges(t))
-
-
 @query(f"""WITH RECURSIVE {d.TRADE}, reach(src, dst) AS (SELECT src, dst FROM trade UNION SELECT reach.src, t.dst FROM reach JOIN trade t ON t.src = reach.dst),
 m AS (SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src)
 SELECT src AS node, min(dst) AS component FROM m GROUP BY 1""")
@@ -100,11 +95,6 @@ def cyclic_nodes(t: Tables) -> DataFrame:
     return graph.components(d.trade(t))
 
 
-@query()
-def cycles(t: Tables) -> DataFrame:
-    return graph.cycles(d.trade(t))
-
-
 @query(f"""WITH RECURSIVE {d.EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 up(node, k) AS (SELECT node, 1 FROM n UNION SELECT e.dst, k + 1 FROM up JOIN e ON e.src = up.node)
 SELECT CAST(max(k) AS INTEGER) AS level, node FROM up GROUP BY node""")
@@ -117,7 +107,7 @@ def topo_layers(t: Tables) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS l FROM p),
-a AS (SELECT path, l, list_min(list_filter([list_position(l, 'en'), list_position(l, 'de')], lambda x: x > 0)) AS k FROM s)
+a AS (SELECT path, l, list_min([x for x in [list_position(l, 'en'), list_position(l, 'de')] if x > 0]) AS k FROM s)
 SELECT path, CASE WHEN k IS NOT NULL AND len(l) - k >= 2 THEN l[k] || '/' || l[k + 1] WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS module FROM a""")
 def module_ids(t: Tables) -> DataFrame:
     return d.page_files(t).select("path", modules.module_id("path", ("en", "de")).alias("module"))
@@ -535,4 +525,4 @@ def depended_on_by(t: Tables) -> DataFrame:
 FLAGSHIP = "hot_files"
 
 # registers its queries
-from strataspark.plans import code  # noqa: E402, F401
+from strataspark.plans import code, composed  # noqa: E402, F401
