@@ -47,8 +47,12 @@ def scanned(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, Da
 
 
 def rows(df: DataFrame, most: int | None = None) -> list[dict]:
-    """Rows for the terminal; results that may be long come with a limit."""
-    return [json.loads(r) for r in (df if most is None else df.limit(most)).toJSON().collect()]
+    """Rows for the terminal, all unless a limit is asked for; one that is cut off says so."""
+    out = [json.loads(r) for r in (df if most is None else df.limit(most + 1)).toJSON().collect()]
+    if most is not None and len(out) > most:
+        print(f"cut off after {most} rows", file=sys.stderr)
+        return out[:most]
+    return out
 
 
 def say(data: object) -> None:
@@ -65,14 +69,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--strict-ast", action="store_true")
     p.add_argument("--tier")
     p.add_argument("--min-confidence", type=float, default=0.8)
-    p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--limit", type=int, help="rows of each result; what is left out is told")
     p.add_argument("--agents", action="store_true", help="put the summary into context files")
     p.add_argument("--remove", action="store_true")
     args = p.parse_args(argv)
     if args.command == "hook":
         say({"changed": history.hook(args.root, "python -m strataspark ci .", args.remove)})
         return 0
-    spark = spark or SparkSession.builder.appName("strataspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = spark or SparkSession.builder.appName("strataspark").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     if args.command == "init":
         write_default_config(home(args.root) / "config.json")
     if args.command in ("rules", "show", "impact"):

@@ -162,11 +162,12 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(severity_rank(), "detector", "ord", "id")
 
 
-def all_insights(risks: DataFrame, critical: DataFrame, modules: DataFrame, edges: DataFrame, cycles: DataFrame, chains: DataFrame, links: DataFrame, contracts: DataFrame, files: DataFrame, fan: DataFrame, used: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def all_insights(risks: DataFrame, critical: DataFrame, modules: DataFrame, edges: DataFrame, cycles: DataFrame, chains: DataFrame, links: DataFrame, contracts: DataFrame | None, files: DataFrame, fan: DataFrame, used: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """All detectors; without history (``contracts`` None) there is no hidden coupling."""
     makers = [
         lambda: single_points(risks, files, t), lambda: high_fan_out(edges, t), lambda: god_modules(modules, files, t), lambda: long_chains(critical, t), lambda: bottlenecks(risks, files, t), lambda: untested(risks),
         lambda: circular(cycles, t), lambda: dead_modules(risks, edges), lambda: hubs(risks, edges, t), lambda: unstable_cores(fan, t), lambda: incomplete_chains(chains), lambda: orphan_endpoints(risks, links),
-        lambda: hotspots(risks, t), lambda: hidden_coupling(contracts, edges, links, t), lambda: over_exposed(modules, used, t), lambda: concentration(risks, files, t),
+        lambda: hotspots(risks, t), *([lambda: hidden_coupling(contracts, edges, links, t)] if contracts is not None else []), lambda: over_exposed(modules, used, t), lambda: concentration(risks, files, t),
     ]
     with ThreadPoolExecutor(8) as pool:  # building a plan is mostly waiting for the JVM
         parts = list(pool.map(lambda make: make(), makers))

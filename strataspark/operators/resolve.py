@@ -11,6 +11,7 @@ below another is left out where a whole path segment agrees.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,33 +117,47 @@ def java_roots(files: DataFrame) -> DataFrame:
 
 
 def _containing(wanted: DataFrame, files: DataFrame, java_only: bool) -> DataFrame:
-    """(path, ord, target): files whose path contains ``part``. Three segments or more join on an inner
-    segment, which such a file must have whole; only shorter ones compare with every file."""
+    """(path, ord, target): files whose path contains ``part``.
+
+    All joins are on equality. Three segments or more join on an inner segment, which such a file must have whole. Of two segments the second is
+    the beginning of one of the file's, and one segment lies within one: these join on up to three characters of a segment, its first
+    ones or any run, and what meets is compared.
+    """
     pool = files.where(F.col("path").endswith(".java")) if java_only else files
     pool = pool.select(F.col("path").alias("target"))
     parts = wanted.select("part", F.split("part", "/").alias("s")).distinct()
     long = parts.where(F.size("s") >= 3).select("part", F.element_at("s", 2).alias("seg"))
-    short = parts.where(F.size("s") < 3).select("part")
     seg = pool.select("target", F.explode(F.array_distinct(F.split("target", "/"))).alias("seg"))
     hits = long.join(seg, "seg").where(F.col("target").contains(F.col("part"))).select("part", "target")
-    hits = hits.union(short.crossJoin(pool).where(F.col("target").contains(F.col("part"))))
+    runs = lambda begin: F.array(*[F.substring(F.col("seg"), begin, F.lit(n)) for n in range(4)])
+    key = lambda c: F.substring(c, 1, 3).alias("key")
+    heads = seg.select("target", F.explode(F.array_distinct(runs(F.lit(1)))).alias("key"))
+    hits = hits.union(parts.where(F.size("s") == 2).select("part", key(F.element_at("s", 2))).join(heads, "key").where(F.col("target").contains(F.col("part"))).select("part", "target"))
+    first = seg.groupBy("seg").agg(F.min("target").alias("target"))
+    anywhere = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("seg"), F.lit(1))), runs))
+    within = first.select("seg", "target", F.explode(F.array_distinct(anywhere)).alias("key"))
+    hits = hits.union(parts.where(F.size("s") == 1).select("part", key(F.col("part"))).join(within, "key").where(F.col("seg").contains(F.col("part"))).select("part", "target"))
     return wanted.join(hits.groupBy("part").agg(F.min("target").alias("target")), "part").select("path", "ord", "target")
 
 
-def resolved(imports: DataFrame, files: DataFrame, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), resolve_absolute: bool = False) -> DataFrame:
-    """``imports`` with ``target``: relative resolution first, then the project index for imports that aren't relative."""
+def resolved(imports: DataFrame, files: DataFrame, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), resolve_absolute: bool = False, languages: Collection[str] = tuple(GROUP)) -> DataFrame:
+    """``imports`` with ``target``: relative resolution first, then the project index for imports that aren't relative.
+
+    ``languages``: the ones that occur, where it is known that others don't; their steps stay out of the plan.
+    """
     keys = file_keys(files)
     absolute = ~F.col("is_relative") | (F.lit(resolve_absolute) & (F.col("language") == "go"))
     relative = imports.where(F.col("is_relative") & F.col("language").isin("typescript", "javascript", "python", "rust"))
     found = [_match(_asked(relative, _relative_keys()), keys)]
 
-    py = imports.where(absolute & (F.col("language") == "python")).withColumn("s", F.split("source", r"\.")).withColumn("package", F.element_at("s", 1))
-    tail = F.slice("s", F.lit(2), F.size("s"))
-    under = py.join(python_roots(files), "package").withColumn("r", F.split("root", "/"))
-    deeper = F.when(F.size("s") > 2, _joined(F.col("r"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 2, F.lit(0)))))
-    found.append(_match(_asked(under, F.array(_joined(F.col("r"), tail), deeper)), keys))
+    if "python" in languages:
+        py = imports.where(absolute & (F.col("language") == "python")).withColumn("s", F.split("source", r"\.")).withColumn("package", F.element_at("s", 1))
+        tail = F.slice("s", F.lit(2), F.size("s"))
+        under = py.join(python_roots(files), "package").withColumn("r", F.split("root", "/"))
+        deeper = F.when(F.size("s") > 2, _joined(F.col("r"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 2, F.lit(0)))))
+        found.append(_match(_asked(under, F.array(_joined(F.col("r"), tail), deeper)), keys))
 
-    if aliases:
+    if aliases and {"typescript", "javascript"} & {*languages}:
         ts = imports.where(absolute & F.col("language").isin("typescript", "javascript"))
         bases = []
         for prefix, target in aliases:
@@ -152,15 +167,16 @@ def resolved(imports: DataFrame, files: DataFrame, go_module: str = "", aliases:
         # an alias whose path exists only whole, with its extension, isn't a match
         found.append(_match(_asked(ts, F.array(*bases), 1), keys))
 
-    java = imports.where(F.col("language") == "java").withColumn("part", F.regexp_replace("source", r"\.", "/"))
-    near = _containing(java.where("is_relative"), files, False).select("path", "ord", F.lit(0).alias("rank"), "target")
-    far = java.where(~F.col("is_relative"))
-    heads = far.select("path", "ord", "source", F.explode(F.array_distinct(F.array(F.substring_index("source", ".", 1), F.substring_index("source", ".", 2)))).alias("package"))
-    exact = heads.join(java_roots(files), "package").select("path", "ord", F.concat("root", F.lit("/"), F.regexp_replace(F.expr("substring(source, length(package) + 2)"), r"\.", "/"), F.lit(".java")).alias("target"))
-    exact = exact.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("path", "ord", F.lit(0).alias("rank"), "target")
-    found += [near, exact, _containing(far, files, True).select("path", "ord", F.lit(1).alias("rank"), "target")]
+    if "java" in languages:
+        java = imports.where(F.col("language") == "java").withColumn("part", F.regexp_replace("source", r"\.", "/"))
+        near = _containing(java.where("is_relative"), files, False).select("path", "ord", F.lit(0).alias("rank"), "target")
+        far = java.where(~F.col("is_relative"))
+        heads = far.select("path", "ord", "source", F.explode(F.array_distinct(F.array(F.substring_index("source", ".", 1), F.substring_index("source", ".", 2)))).alias("package"))
+        exact = heads.join(java_roots(files), "package").select("path", "ord", F.concat("root", F.lit("/"), F.regexp_replace(F.expr("substring(source, length(package) + 2)"), r"\.", "/"), F.lit(".java")).alias("target"))
+        exact = exact.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("path", "ord", F.lit(0).alias("rank"), "target")
+        found += [near, exact, _containing(far, files, True).select("path", "ord", F.lit(1).alias("rank"), "target")]
 
-    if go_module:
+    if go_module and "go" in languages:
         go = imports.where(absolute & (F.col("language") == "go") & F.col("source").startswith(go_module))
         go = go.select("path", "ord", F.regexp_replace(F.regexp_replace("source", "^" + re.escape(go_module), ""), "^/", "").alias("dir")).where("dir <> ''")
         own = files.where(F.col("path").endswith(".go")).select(F.col("path").alias("target"), paths.dirname("path").alias("d"))

@@ -63,4 +63,5 @@ def hot_files(risks: DataFrame, members: DataFrame, most: int = 15) -> DataFrame
     # the module is joined after the limit, so only the rows that are kept are looked up
     top = risks.where("score > 0").withColumn("importance", importance.cast("double")).orderBy(F.desc("importance"), F.desc("score"), "file").limit(most)
     found = top.join(members.select(F.col("path").alias("file"), "module"), "file", "left")
+    found = found.orderBy(F.desc("importance"), F.desc("score"), "file")
     return found.select("file", "importance", "risk", "fan_in", "transitive_impact", F.coalesce("module", F.lit("unknown")).alias("module"))

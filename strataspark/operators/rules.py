@@ -137,23 +137,32 @@ def with_overrides(rules: DataFrame, overrides: dict[str, str]) -> DataFrame:
 
 
 def manual_rules(spark: SparkSession, path: str | Path, now: str = "") -> DataFrame:
-    """Rules of a YAML file (list, or under ``rules``): ``manual-NNN``, tier rule, confidence 1; none where it is missing or broken."""
+    """Rules of a YAML file (list, or under ``rules``): ``manual-NNN``, tier rule, confidence 1; none where it is missing or broken,
+    and entries that aren't mappings don't count."""
     rows = []
     try:
-        import yaml
-
-        got = yaml.safe_load(Path(path).read_text()) or []
-        items = got.get("rules", []) if isinstance(got, dict) else got
-    except ImportError:
-        items = _simple_yaml(Path(path).read_text()) if Path(path).exists() else []
+        text = Path(path).read_text()
     except (OSError, ValueError):
-        items = []
-    for i, r in enumerate(items, 1):
+        text = ""
+    for i, r in enumerate(_entries(text), 1):
         scope = r.get("scope") or ["*"]
-        rows.append((f"manual-{i:03d}", r.get("category") or "boundary", "rule", 1.0, "stable", [scope] if isinstance(scope, str) else list(scope), str(r.get("description") or ""), str(r.get("action") or r.get("description") or ""), "manual", (now, 0, 0, 0, 0, None, None)))
+        rows.append((f"manual-{i:03d}", str(r.get("category") or "boundary"), "rule", 1.0, "stable", [str(s) for s in (scope if isinstance(scope, list) else [scope])], str(r.get("description") or ""), str(r.get("action") or r.get("description") or ""), "manual", (now, 0, 0, 0, 0, None, None)))
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def _entries(text: str) -> list[dict]:
+    try:
+        import yaml
+    except ImportError:
+        return _simple_yaml(text)
+    try:
+        got = yaml.safe_load(text)
+    except yaml.YAMLError:
+        return []
+    got = got.get("rules") if isinstance(got, dict) else got
+    return [r for r in got if isinstance(r, dict)] if isinstance(got, list) else []
+
+
 def _simple_yaml(text: str) -> list[dict]:
     """The subset that rule files use: a list of flat mappings, with ``[a, b]`` lists."""
     out: list[dict] = []

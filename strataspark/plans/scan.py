@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.config import Config
+from strataspark.config import EXTENSIONS, Config
 from strataspark.operators import chains, cochange, graph, health, insights, modules, patterns, resolve, risk, rules, signals
-from strataspark.plans.tables import cut, tuned
+from strataspark.plans.tables import cut, light_session
 from strataspark.sources import extract, files, history, project
 
+#: A project of at most so many files is planned lightly (see ``tables.light_session``); what comes out is the same.
+FEW_FILES = 2_000
 EMPTY_CONTRACTS = "file_a string, file_b string, occurrences long, confidence double"
 
 
-def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataFrame | None = None, diff_lines: DataFrame | None = None, change_frequency: DataFrame | None = None, previous_rules: DataFrame | None = None, manual: DataFrame | None = None, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), config_signals: DataFrame | None = None, parsed: DataFrame | None = None, now: str | None = None) -> dict[str, DataFrame]:
+def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataFrame | None = None, diff_lines: DataFrame | None = None, change_frequency: DataFrame | None = None, previous_rules: DataFrame | None = None, manual: DataFrame | None = None, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), config_signals: DataFrame | None = None, parsed: DataFrame | None = None, now: str | None = None, languages: Collection[str] | None = None) -> dict[str, DataFrame]:
     """All tables of a scan of ``files(path, language, ext, is_support, content)``.
 
     Tables that several others read are written once to the shared folder. Support files stay out of graph and modules.
@@ -28,7 +31,7 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
     all_files = everything.select("path", "language", "is_support")
     own = all_files.where("not is_support")
 
-    imports = cut(resolve.resolved(extract.imports(results), own, go_module, aliases, config.resolve_absolute), "imports")
+    imports = cut(resolve.resolved(extract.imports(results), own, go_module, aliases, config.resolve_absolute, config.languages if languages is None else languages), "imports")
     edges = cut(graph.build_edges(imports), "edges")
     external = graph.externals(imports)
     members = cut(modules.module_files(own, config.roots), "members")
@@ -67,7 +70,7 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
     with ThreadPoolExecutor(4) as pool:
         jobs = [pool.submit(f) for f in (rule_table, risk_table, lambda: modules.module_layers(mods, deps), lambda: (cut(chains.chain_links(own), "links"), graph.cycles(edges)))]
         (pattern, found, ruled), (critical, risks), layers, (links, cycles) = (j.result() for j in jobs)
-    insight = cut(insights.all_insights(risks, critical, mods, edges, cycles, chains.chains(links), links, contracts, own, signals.module_fan(mods, deps), signals.used_symbols(members, edges), t), "insights")
+    insight = cut(insights.all_insights(risks, critical, mods, edges, cycles, chains.chains(links), links, contracts if commit_files is not None else None, own, signals.module_fan(mods, deps), signals.used_symbols(members, edges), t), "insights")
     return {
         "files": all_files, "parsed": everything, "parsing_stats": extract.parsing_stats(everything), "imports": imports, "edges": edges, "nodes": graph.module_nodes(mods, external), "file_nodes": graph.build_nodes(own, edges, external),
         "members": members, "module_deps": deps, "module_exports": api, "modules": mods, "layers": layers, "contracts": cochange.with_ids(contracts), "signals": found,
@@ -79,14 +82,16 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
 def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_history: bool = True, previous_rules: DataFrame | None = None, strict_ast: bool = False) -> dict[str, DataFrame]:
     """Scan the project at ``root``. History is an explicit input, as is the snapshot of earlier rules."""
     names = files.listing(root, config)
+    if len(names) <= FEW_FILES:
+        spark = light_session(spark)
+        previous_rules = previous_rules and spark.createDataFrame(previous_rules.collect(), previous_rules.schema)
     catalogue = files.discover(spark, root, config, names)
     commits = history.commit_files(spark, root, config.max_commits) if use_history else None
     diffs = history.diff_lines(spark, root, min(config.max_commits, 500)) if use_history else None
-    with tuned(spark, len(names)):
-        out = analyse(
-            catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
-            go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)),
-        )
+    out = analyse(
+        catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
+        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)), languages={EXTENSIONS[n[n.rindex("."):].lower()] for n in names},
+    )
     if strict_ast:
         extract.assert_ast(out["parsed"])
     return out

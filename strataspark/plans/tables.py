@@ -10,12 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only for a local session that doesn't set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,30 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="strata-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-@contextmanager
-def tuned(spark: SparkSession, rows: int, few: int = 2_000):
-    """For inputs of at most ``few`` rows: two shuffle partitions and plans that aren't revised at run time, whose overhead
-    is then all there is to save. Larger inputs, and what runs afterwards, have the session's own settings."""
-    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"} if rows <= few else {}
-    before = {k: spark.conf.get(k) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        made = tempfile.mkdtemp(prefix="strata-")
+        atexit.register(shutil.rmtree, made, True)
+        _made[app] = f"file://{made}"
+    return _made[app]
+
+
+#: For plans over a few thousand rows, whose cost is that of planning: no revision at run time, no compiled code, few partitions.
+LIGHT = {
+    "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+    "strata.light": "true",
+}
+
+
+def light_session(spark: SparkSession) -> SparkSession:
+    """A session of its own beside ``spark`` for small inputs; the settings of ``spark`` stay as they are."""
+    out = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        out.conf.set(key, spark.conf.get(key))
+    for key, value in LIGHT.items():
+        out.conf.set(key, value)
+    return out
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back."""
+    """``df`` computed once: written below the shared folder and read back, or, in a light session, held as a local relation, which is
+    what its few rows come to."""
     spark = df.sparkSession
+    if spark.conf.get("strata.light", "false") == "true":
+        return spark.createDataFrame(df.toArrow(), df.schema)
     path = f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
