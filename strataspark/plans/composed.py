@@ -110,7 +110,7 @@ _BARRELS = d.DEPS + ", " + d.MEMBERS + """, b AS (SELECT r_name || '/' || n_name
 mem AS (SELECT module, path, language FROM members UNION ALL SELECT module, module || '/index.ts', 'typescript' FROM b),
 o AS (SELECT path, module, o_orderpriority AS p, o_orderstatus AS st FROM orders JOIN customer ON c_custkey = o_custkey JOIN members ON ends_with(path, '/' || c_name || '.ts')),
 ex AS (SELECT DISTINCT module, path, p AS name FROM o WHERE module NOT IN (SELECT module FROM b) UNION ALL SELECT module, module || '/index.ts', 'all' FROM b),
-ext AS (SELECT DISTINCT module, 'pkg-' || lower(st) AS package FROM o WHERE p <> '1-URGENT'),
+ext AS (SELECT module, 'pkg-' || lower(chr(k)) AS package FROM (SELECT module, ascii(st) AS k, count(*) AS n FROM o WHERE p <> '1-URGENT' GROUP BY 1, 2)),
 lang AS (SELECT module, arg_min(language, struct_pack(a := -n, b := p)) AS language FROM (SELECT module, language, count(*) AS n, min(path) AS p FROM mem GROUP BY 1, 2) GROUP BY 1)"""
 
 
@@ -127,7 +127,7 @@ def module_rows(t: Tables) -> DataFrame:
     return m.select("id", "name", "language", F.size("files").alias("n_files"), F.element_at("files", 1).alias("first_file"), "n_exports", F.array_join("internal_deps", "|").alias("internal_deps"), F.array_join("external_deps", "|").alias("external_deps"))
 
 
-@query(f"WITH {_BARRELS} SELECT DISTINCT module, package FROM ext")
+@query(f"WITH {d.MODULES}, k AS (SELECT c_nationkey AS n, ascii(o_orderstatus) AS s, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2) SELECT id AS module, 'pkg-' || lower(chr(s)) AS package FROM k JOIN mods ON n_nationkey = n")
 def external_deps(t: Tables) -> DataFrame:
     members, _, imports = _barrels(t)
     return modules.external_deps(members, imports)
