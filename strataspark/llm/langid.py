@@ -91,6 +91,7 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
 
 
 BREAK = np.int32(1 << 30)
+TOGETHER, SLICE = 8, 1_000_000
 
 
 class Model:
@@ -104,20 +105,22 @@ class Model:
         width = len(letters) + 2
         code = np.zeros(0x110000, np.uint8 if width < 256 else np.uint16)
         code[letters] = np.arange(1, len(letters) + 1)
-        self.code, self.pad, tables, base, self.roots, self.bits = code, width - 1, [], 0, [], []
-        for text in texts:
-            goto = suffix_automaton(code[text], width)
-            t = np.where(goto < 0, np.int32(-1), (base + goto) * np.int32(width)).astype(np.int32)
+        self.code, self.pad, self.roots, self.bits = code, width - 1, [], []
+        automata = [suffix_automaton(code[text], width) for text in texts]
+        self.table, base = np.empty(sum(map(len, automata)) * width, np.int32), 0
+        for i, text in enumerate(texts):
+            goto, automata[i] = automata[i], None  # each is given back once it is in the table
+            t = self.table[base * width : (base + len(goto)) * width].reshape(goto.shape)
+            np.multiply(goto + np.int32(base), np.int32(width), out=t)
+            none = goto < 0
             # where no match goes on, a phrase begins: with a character never seen it also ends, in state 0
-            begin = np.where(t[0] < 0, base * width, t[0]) | BREAK
-            t = np.where(t < 0, begin[None, :], t)
+            begin = np.where(none[0], np.int32(base * width), t[0]) | BREAK
+            np.copyto(t, begin[None, :], where=none)
             t[0] = begin
             t[:, self.pad] = (base + np.arange(len(goto))) * width
-            tables.append(t.ravel())
             self.roots.append(base * width)
             self.bits.append(np.log2(max(2, len(text))))
             base += len(goto)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (texts x languages) and normalised characters of each."""
@@ -134,37 +137,46 @@ class Model:
             some = blocks > 0
             follows = np.ones(total, np.bool_)
             follows[first[some]] = False
-            for i, root in enumerate(self.roots):
-                state = np.full(total, root, np.int64)
-                count = np.zeros(total, np.int64)
-                go, flag = np.empty(total, np.int32), np.empty(total, np.int32)
+            last, count = np.empty((len(self.roots), total), np.int64), np.zeros((len(self.roots), total), np.int64)
+            go, flag = np.empty(total, np.int32), np.empty(total, np.int32)
+            for state, n, root in zip(last, count, self.roots):
+                state[:] = root
                 for row in steps:
                     np.add(state, row, out=state)
                     np.take(self.table, state, out=go, mode="clip")
                     np.right_shift(go, 30, out=flag)
-                    np.add(count, flag, out=count)
-                    np.bitwise_and(go, BREAK - 1, out=go)
-                    state[:] = go
-                self._carry(steps, state, count, follows, root)
-                out[some, i] = np.add.reduceat(count, first[some])
+                    np.add(n, flag, out=n)
+                    np.bitwise_and(go, BREAK - 1, out=state)
+            self._carry(steps, last, count, follows)
+            out[some] = np.add.reduceat(count, first[some], axis=1).T
         return out, lengths
 
-    def _carry(self, steps: np.ndarray, last: np.ndarray, count: np.ndarray, follows: np.ndarray, root: int) -> None:
-        """Correct the counts of blocks parsed from the root to those of blocks that go on from the one before; ``last``
-        has the states that the blocks end in."""
-        begun = np.full(len(last), root, np.int64)
+    def _carry(self, steps: np.ndarray, last: np.ndarray, count: np.ndarray, follows: np.ndarray) -> None:
+        """Correct the counts of blocks parsed from the root (languages x blocks) to those of blocks that go on from the one
+        before; ``last`` has the states that the blocks end in."""
+        total = last.shape[1]
+        begun = np.repeat(np.array(self.roots, np.int64), total)
+        last, count, follows = last.reshape(-1), count.reshape(-1), np.tile(follows, len(self.roots))
         todo = np.flatnonzero(follows)
         while len(todo):
             before, now = begun[todo], last[todo - 1]
             begun[todo] = now
             lane = todo[before != now]
             a, b = before[before != now], now[before != now]
-            for row in steps:
+            # a few steps at a time, between which the lanes that have met drop out; those that meet count alike from there on
+            for start in range(0, len(steps), TOGETHER):
                 if not len(lane):
                     break
-                ga, gb = self.table[a + row[lane]], self.table[b + row[lane]]
-                count[lane] += (gb >> 30) - (ga >> 30)
-                a, b = (ga & (BREAK - 1)).astype(np.int64), (gb & (BREAK - 1)).astype(np.int64)
+                ga, gb, more = np.empty(len(lane), np.int32), np.empty(len(lane), np.int32), np.zeros(len(lane), np.int32)
+                for row in steps[start : start + TOGETHER, lane % total]:
+                    for state, go in ((a, ga), (b, gb)):
+                        np.add(state, row, out=state)
+                        np.take(self.table, state, out=go, mode="clip")
+                        np.bitwise_and(go, BREAK - 1, out=state)
+                        np.right_shift(go, 30, out=go)
+                    np.subtract(gb, ga, out=gb)
+                    np.add(more, gb, out=more)
+                count[lane] += more
                 apart = a != b
                 lane, a, b = lane[apart], a[apart], b[apart]
             last[lane] = b
@@ -277,7 +289,7 @@ def limit_of(samples: tuple[tuple[str, str], ...], held: list[tuple[str, str]])
 
 def _decide(model: Model, texts: list[str], limit: Limit) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     langs, best, margin, keep = [], [], [], []
-    for _, run in slices(texts, 1_000_000):
+    for _, run in slices(texts, SLICE):
         s, n = model.scores(run)
         letters = n > 1
         for i in np.flatnonzero(n == 1):
