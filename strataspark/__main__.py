@@ -21,6 +21,8 @@ from strataspark.plans.scan import scan_project
 from strataspark.sources import history, sinks
 
 AGENT_FILES = ("AGENTS.md",)
+#: What ``show`` gives when no table is named.
+BUNDLE = ("modules", "edges", "nodes", "rules", "contracts", "health", "parsing_stats")
 
 
 def home(root: str) -> Path:
@@ -38,7 +40,7 @@ def scanned(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, Da
     if args.roots:
         config = replace(config, roots=tuple(args.roots.split(",")))
     before = last_snapshot(spark, args.root)
-    out = scan_project(spark, str(Path(args.root).resolve()), config, not args.no_history, before["rules"] if before else None, args.strict_ast)
+    out = scan_project(spark, str(Path(args.root).resolve()), config, not args.no_history, before["rules"] if before else None, args.strict_ast, f"file://{home(args.root)}/cache")
     marker = home(args.root) / "latest"
     run = f"run-{int(marker.read_text().strip().split('-')[1]) + 1 if marker.exists() else 1:06d}"
     sinks.write_snapshot(out, f"file://{home(args.root)}/snapshots", run)
@@ -87,7 +89,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "rules":
             say(rows(api.get_rules(now["rules"], tier=args.tier), args.limit))
         elif args.command == "show":
-            say(rows(now[args.what or "health"], args.limit))
+            names = [args.what] if args.what else [n for n in BUNDLE if n in now]
+            found = {n: rows(now[n], args.limit) for n in names}
+            say(found[args.what] if args.what else {"schema_version": sinks.SCHEMA_VERSION, **found})
         else:
             members = now["modules"].select(F.col("id").alias("module"), F.explode("files").alias("path"))
             say({k: rows(v, args.limit) for k, v in api.check_impact(args.what, members, now["edges"], now["contracts"], now["chain_links"]).items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
@@ -13,9 +14,12 @@ from strataspark.config import EXTENSIONS, Config
 from strataspark.operators import chains, cochange, graph, health, insights, modules, patterns, resolve, risk, rules, signals
 from strataspark.plans.tables import cut, light_session
 from strataspark.sources import extract, files, history, project
+from strataspark.streaming import incremental
 
 #: A project of at most so many files is planned lightly (see ``tables.light_session``); what comes out is the same.
 FEW_FILES = 2_000
+#: Version of the parsers, with which cached results go out of date.
+PARSERS = 2
 EMPTY_CONTRACTS = "file_a string, file_b string, occurrences long, confidence double"
 
 
@@ -79,8 +83,11 @@ def analyse(catalogue: DataFrame, config: Config = Config(), commit_files: DataF
     }
 
 
-def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_history: bool = True, previous_rules: DataFrame | None = None, strict_ast: bool = False) -> dict[str, DataFrame]:
-    """Scan the project at ``root``. History is an explicit input, as is the snapshot of earlier rules."""
+def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_history: bool = True, previous_rules: DataFrame | None = None, strict_ast: bool = False, cache: str | None = None) -> dict[str, DataFrame]:
+    """Scan the project at ``root``. History is an explicit input, as is the snapshot of earlier rules.
+
+    ``cache``: a folder for parse results by content, where files that are as they were aren't parsed again.
+    """
     names = files.listing(root, config)
     if len(names) <= FEW_FILES:
         spark = light_session(spark)
@@ -88,9 +95,10 @@ def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_
     catalogue = files.discover(spark, root, config, names)
     commits = history.commit_files(spark, root, config.max_commits) if use_history else None
     diffs = history.diff_lines(spark, root, min(config.max_commits, 500)) if use_history else None
+    known = incremental.refresh(catalogue, f"{cache}/parsers-{PARSERS}", f"scan-{uuid.uuid4().hex[:12]}").drop("hash") if cache else None
     out = analyse(
         catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
-        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)), languages={EXTENSIONS[n[n.rindex("."):].lower()] for n in names},
+        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)), parsed=known, languages={EXTENSIONS[n[n.rindex("."):].lower()] for n in names},
     )
     if strict_ast:
         extract.assert_ast(out["parsed"])

@@ -28,16 +28,27 @@ def log_lines(spark: SparkSession, root: str, most: int = 1000) -> DataFrame | N
     return None if text is None else spark.createDataFrame(list(enumerate(text.splitlines())), "ord long, line string")
 
 
+#: Lines of a log that are put in order together.
+STRETCH = 100_000
+
+
 def parse_log(lines: DataFrame, prefix: str = "", by: str | None = None) -> DataFrame:
     """``commit_files(hash, path)``: a line of 40 hex digits begins a commit, ``added TAB removed TAB path`` names a
     file; renames and paths outside ``prefix`` are dropped, and the prefix is taken off.
 
-    ``by``: a column, such as the log's name, within which lines are in order; logs are read in parallel.
+    ``by``: a column, such as the log's name, within which lines are in order; a log is read in one piece then. Without it the one log is
+    read in stretches of ``STRETCH`` lines, and a stretch that begins within a commit takes it from those before, of which one row each is looked at.
     """
-    w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     s = F.trim("line")
     rows = lines.select("*", F.when(s.rlike("^[0-9a-f]{40}$"), s).alias("h"), F.regexp_extract(s, r"^[0-9]+\t[0-9]+\t(\S.*)$", 1).alias("p"))
-    rows = rows.withColumn("hash", F.last("h", ignorenulls=True).over(w)).where("p <> '' and hash is not null and not contains(p, '=>')")
+    rows = rows.withColumn("__part", F.floor(F.col("ord") / STRETCH))
+    local = Window.partitionBy(by or "__part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("hash", F.last("h", ignorenulls=True).over(local))
+    if not by:
+        last = rows.groupBy("__part").agg(F.max_by("h", F.when(F.col("h").isNotNull(), F.col("ord"))).alias("h"))
+        before = last.select("__part", F.last("h", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+        rows = rows.join(before, "__part").withColumn("hash", F.coalesce("hash", "__before"))
+    rows = rows.where("p <> '' and hash is not null and not contains(p, '=>')")
     path = F.regexp_replace("p", r"\\", "/")
     if prefix:
         rows = rows.where(path.startswith(prefix))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataspark.operators import insights as ins
 
 SCHEMA_VERSION = 2
-TABLES = ("modules", "edges", "nodes", "layers", "rules", "contracts", "file_risks", "critical_paths", "chain_links", "insights", "health", "module_scores", "hot_files", "parsed")
+TABLES = ("modules", "edges", "nodes", "layers", "rules", "contracts", "file_risks", "critical_paths", "chain_links", "insights", "health", "module_scores", "hot_files", "parsing_stats", "parsed")
 
 
 def write_snapshot(result: dict[str, DataFrame], path: str, run: str) -> str:

@@ -6,7 +6,7 @@ arriving files: :func:`refresh` runs in ``foreachBatch``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.sources.extract import parsed
@@ -48,9 +48,19 @@ def refresh(files: DataFrame, cache_path: str, run: str) -> DataFrame:
     cache = spark.read.parquet(f"{cache_path}/{last}") if last else None
     rescan(files, cache).write.mode("overwrite").parquet(f"{cache_path}/{run}")
     spark.createDataFrame([(run,)], "v string").coalesce(1).write.mode("overwrite").text(marker)
+    _prune(spark, cache_path, {run, last, "latest"})
     return spark.read.parquet(f"{cache_path}/{run}")
 
 
+def _prune(spark: SparkSession, path: str, keep: set[str | None]) -> None:
+    """Delete what lies below a folder but for some names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in system.listStatus(at):
+        if entry.getPath().getName() not in keep:
+            system.delete(entry.getPath(), True)
+
+
 def stream(files, cache_path: str):
     """A streaming query that merges arriving (path, language, is_support, content) rows into the cache.
 

@@ -20,6 +20,9 @@ def test_commands(capsys, spark, tmp_path):
     code, impact = run(capsys, spark, "impact", root, "src/db/index.ts")
     assert code == 0 and len(impact["dependents"]) == 3 and impact["module"] == [{"module": "src/db"}]
     assert run(capsys, spark, "show", root, "health")[1][0]["overall"] == 94
+    bundle = run(capsys, spark, "show", root)[1]
+    assert {"schema_version", "modules", "edges", "rules", "health", "parsing_stats"} <= set(bundle) and len(bundle["modules"]) == 5 and bundle["parsing_stats"][0]["ast_percent"] == 100
+    assert len(run(capsys, spark, "show", root, "edges")[1]) == 15 and len(run(capsys, spark, "show", root, "edges", "--limit", "3")[1]) == 3
     (tmp_path / "src/models/user.ts").write_text("import { getConfig as load } from '../utils/config.js';\nexport const k = load();\n")
     code, changed = run(capsys, spark, "diff", root, "--no-history")
     assert code == 0 and {"change": "new", "src": "src/models/user.ts", "dst": "src/utils/config.ts"} in changed["edges"]

@@ -90,11 +90,13 @@ def test_contracts(spark):
     assert cochange.with_ids(cochange.contracts(spark.createDataFrame(log, "hash string, path string"))).orderBy("id").first().id == "contract-001"
 
 
-def test_log_and_removed_imports(spark):
+def test_log_and_removed_imports(spark, monkeypatch):
     h = "a" * 40, "b" * 40
     lines = [h[0], "", "1\t2\tapp/x.py", "-\t-\tapp/pic.png", "3\t0\tapp/{a => b}.py", h[1], "1\t1\tother/y.py", "2\t2\tapp/z.py"]
     df = spark.createDataFrame(list(enumerate(lines)), "ord long, line string")
     assert rows(history.parse_log(df, "app/")) == [(h[0], "x.py"), (h[1], "z.py")]
+    monkeypatch.setattr(history, "STRETCH", 1)
+    assert rows(history.parse_log(df, "app/")) == [(h[0], "x.py"), (h[1], "z.py")]
     diff = [(0, "h1", "Refactor core", "-import x"), (0, "h1", "Refactor core", "--- a"), (1, "h2", "Remove y", "+import y"), (2, "h3", "add", "-import z"), (3, "h4", "split out", "-use q")]
     assert rows(cochange.removed_imports(spark.createDataFrame(diff, "ord int, hash string, message string, line string")).select("hash")) == [("h1",), ("h4",)]
 

@@ -97,3 +97,23 @@ def test_go_project(spark, tmp_path):
     assert names >= {"Token", "Verify", "Sign", "Secret"} and "internalHelper" not in names
     fixed = scan_project(spark, root, Config(roots=("cmd", "pkg"), resolve_absolute=True), use_history=False)
     assert {(r.src, r.dst) for r in fixed["edges"].collect()} == {("cmd/main.go", "pkg/auth/auth.go"), ("cmd/main.go", "pkg/handlers/router.go"), ("pkg/handlers/router.go", "pkg/auth/auth.go"), ("pkg/handlers/router.go", "pkg/db/db.go")}
+
+
+def test_parse_cache(spark, tmp_path, monkeypatch):
+    """What is as it was isn't parsed again; results are those of a whole scan."""
+    from strataspark.sources import extract
+    from strataspark.streaming import incremental
+
+    root, cache = write(tmp_path / "p", TYPESCRIPT), f"file://{tmp_path}/cache"
+    first = scan_project(spark, root, Config(), use_history=False, cache=cache)
+    assert first["edges"].count() == 15
+    (tmp_path / "p/src/models/user.ts").write_text("import {\n  getConfig,\n} from '../utils/config.js';\nexport const k = getConfig();\n")
+    (tmp_path / "p/src/routes/index.ts").unlink()
+    asked = []
+    monkeypatch.setattr(incremental, "parsed", lambda files: asked.append(sorted(r.path for r in files.select("path").collect())) or extract.parsed(files))
+    again = scan_project(spark, root, Config(), use_history=False, cache=cache)
+    assert asked == [["src/models/user.ts"]]
+    whole = scan_project(spark, root, Config(), use_history=False)
+    key = lambda out, t: sorted(map(str, out[t].drop("refs").collect()))
+    assert all(key(again, t) == key(whole, t) for t in ("edges", "modules", "file_risks", "parsing_stats"))
+    assert len([p for p in (tmp_path / "cache").glob("parsers-*/scan-*")]) == 2
