@@ -1,8 +1,9 @@
 """Operator 6: URL filter over a sorted digest array.
 
 The blocklist (whole URLs, URLs without their query, hosts) is written once: 64-bit xxhash keys in
-ascending order, the places of the full strings, and the strings. Workers memory-map these files,
-probe all URLs of a batch with one vectorised binary search, and compare the stored string of every
+ascending order, the places of the full strings, and the strings. The forms that
+a URL is looked up as and their keys are computed by Spark (its xxhash64). Workers memory-map the files,
+probe all forms of a batch with one vectorised binary search, and compare the stored string of every
 hit, so that a collision of digests can't block a URL. Lists of more than ``file_entries`` entries
 are split by the leading bits of the key, each part a set of files of its own.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,28 +39,20 @@ def canonical(url: Column) -> Column:
     return F.when(F.length(host) > 0, F.concat(host, F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))))
 
 
-def candidates(url: str) -> list[str]:
-    """What a canonical URL is looked up as, the most specific first."""
-    path = url.split("?", 1)[0]
-    host = path.split("/", 1)[0]
-    out = [url] if path == url else [url, path]
-    out.append(host)
-    while "." in host:
-        host = host.split(".", 1)[1]
-        if "." in host:
-            out.append(host)
-    return out
+def candidates(url: str) -> Column:
+    """What a canonical URL is looked up as, the most specific first: itself, without its query, its host, parent domains with a dot."""
+    u = F.col(url)
+    path = F.substring_index(u, "?", 1)
+    host = F.substring_index(path, "/", 1)
+    labels = F.split(host, "[.]")
+    none = F.array().cast("array<string>")
+    parents = F.when(F.size(labels) > 2, F.transform(F.sequence(F.lit(2), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(none)
+    return F.when(u.isNotNull(), F.concat(F.array(u), F.when(path != u, F.array(path)).otherwise(none), F.array(host), parents))
 
 
-def digests(strings: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
-
-
-def _digest(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = digests(b.column(0).to_pylist())
-        part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys.view(np.int64)), pa.array(part)], names=["entry", "key", "part"])
+def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of keys: the part of the list that they are in."""
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
 def _store(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -83,7 +76,8 @@ def build(entries: DataFrame, file_entries: int = FILE_ENTRIES) -> tuple[str, in
     unique = store.cut(entries.select(F.trim(entry).alias("entry")).where(F.length("entry") > 0).distinct(), "entries")
     bits = max(0, int(np.ceil(np.log2(max(1, unique.count()) / file_entries))))
     path = store.fresh_path(spark, "urls")
-    keyed = unique.mapInArrow(lambda it: _digest(it, bits), "entry string, key long, part int")
+    key = F.xxhash64("entry")
+    keyed = unique.select("entry", key.alias("key"), (F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0)).cast("int").alias("part"))
     made = keyed.repartitionById(1 << bits, F.col("part")).sortWithinPartitions("key", "entry").mapInArrow(lambda it: _store(it, path), "part int, entries long")
     parts = sorted(r.part for r in made.collect())
     store.discard(unique)
@@ -96,10 +90,10 @@ class Probe:
     def __init__(self, path: str, bits: int, parts: list[int]):
         self.path, self.bits, self.parts = path, bits, set(parts)
 
-    def has(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros(len(strings), np.bool_)
-        keys = digests(strings)
-        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+    def has(self, strings: pa.Array, keys: np.ndarray) -> np.ndarray:
+        """Places of the strings, whose keys are given, that the list has."""
+        out: list[int] = []
+        part = part_of(keys, self.bits)
         for p in np.unique(part).tolist():
             if p not in self.parts:
                 continue
@@ -107,17 +101,16 @@ class Probe:
             sorted_keys, ends = files.array(f"{base}.keys", "int64"), files.array(f"{base}.ends", "int64")
             text = files.array(f"{base}.text", "uint8")
             own = np.flatnonzero(part == p)
-            wanted = keys[own].view(np.int64)
-            at = np.searchsorted(sorted_keys, wanted)
-            hit = np.flatnonzero((at < len(sorted_keys)) & (sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == wanted))
+            at = np.searchsorted(sorted_keys, keys[own])
+            hit = np.flatnonzero((at < len(sorted_keys)) & (sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys[own]))
             for i in hit.tolist():
-                k, want = int(at[i]), strings[own[i]].encode()
-                while k < len(sorted_keys) and sorted_keys[k] == wanted[i]:  # strings that share a digest are neighbours
+                k, key, want = int(at[i]), keys[own[i]], strings[int(own[i])].as_py().encode()
+                while k < len(sorted_keys) and sorted_keys[k] == key:  # strings that share a digest are neighbours
                     if text[ends[k] : ends[k + 1]].tobytes() == want:
-                        out[own[i]] = True
+                        out.append(int(own[i]))
                         break
                     k += 1
-        return out
+        return np.array(sorted(out), np.int64)
 
 
 def filtered(pages: DataFrame, blocklist: DataFrame, id_column: str = "page_id", url_column: str = "url", file_entries: int = FILE_ENTRIES) -> DataFrame:
@@ -127,16 +120,17 @@ def filtered(pages: DataFrame, blocklist: DataFrame, id_column: str = "page_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(path, bits, parts)
         for b in batches:
-            forms = [candidates(u) if u else [] for u in b.column(2).to_pylist()]
-            flat = [f for x in forms for f in x]
-            hit, at, entry = probe.has(flat), 0, []
-            for x in forms:
-                found = np.flatnonzero(hit[at : at + len(x)])
-                entry.append(x[found[0]] if len(found) else None)
-                at += len(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([e is not None for e in entry], pa.bool_()), pa.array(entry, pa.string())], names=[id_column, url_column, "blocked", "entry"])
+            strings, keys = b.column(2).flatten(), b.column(3).flatten()
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+            hit = probe.has(strings, keys.to_numpy(zero_copy_only=False))
+            rows, first = np.unique(row[hit], return_index=True)
+            place = np.full(b.num_rows, -1, np.int64)
+            place[rows] = hit[first]
+            entry = strings.take(pa.array(place, mask=place < 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place >= 0), entry], names=[id_column, url_column, "blocked", "entry"])
 
     plain = pages.select(F.col(id_column).cast("long").alias(id_column), F.col(url_column).cast("string").alias(url_column), canonical(F.col(url_column)).alias("canonical"))
+    plain = plain.select(id_column, url_column, candidates("canonical").alias("forms")).withColumn("keys", F.transform("forms", lambda f: F.xxhash64(f)))
     return plain.mapInArrow(run, f"`{id_column}` long, `{url_column}` string, blocked boolean, entry string")
 
 

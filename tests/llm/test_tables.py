@@ -4,8 +4,8 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
-import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -348,18 +348,22 @@ def test_blocklist_has_domains_and_urls(spark, tmp_path):
 
 
 def test_colliding_digests_are_told_apart(tmp_path):
-    strings = sorted(["one", "two", "three"], key=xxhash.xxh64_intdigest)
-    key = np.array([xxhash.xxh64_intdigest("other")] * 3, np.uint64).view(np.int64)
-    data = [s.encode() for s in strings]
+    key, asked = np.array([7, 7, 7], np.int64), (pa.array(["x", "other"]), np.array([1, 7], np.int64))
+    data = [b"one", b"two", b"three"]
     base = f"file://{tmp_path}/000000"
     files.write(f"{base}.keys", key.tobytes())
     files.write(f"{base}.ends", np.cumsum([0, *map(len, data)]).astype(np.int64).tobytes())
     files.write(f"{base}.text", b"".join(data))
-    assert urls.Probe(f"file://{tmp_path}", 0, [0]).has(["other"]).tolist() == [False]
+    assert urls.Probe(f"file://{tmp_path}", 0, [0]).has(*asked).tolist() == []
     files.array.cache_clear()
     files.write(f"{base}.text", b"".join([*data[:2], b"other"]))
-    files.write(f"{base}.ends", np.cumsum([0, *map(len, data[:2]), 5]).astype(np.int64).tobytes())
-    assert urls.Probe(f"file://{tmp_path}", 0, [0]).has(["other"]).tolist() == [True]
+    assert urls.Probe(f"file://{tmp_path}", 0, [0]).has(*asked).tolist() == [1]
+
+
+def test_forms_of_urls(spark):
+    want = {"a.b.c/p?q": ["a.b.c/p?q", "a.b.c/p", "a.b.c", "b.c"], "a.b/": ["a.b/", "a.b"], "localhost/x": ["localhost/x", "localhost"], "w.x.y.z/": ["w.x.y.z/", "w.x.y.z", "x.y.z", "y.z"], "a..b/": ["a..b/", "a..b", ".b"], None: None}
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", urls.candidates("u").alias("f")).collect()
+    assert {r.u: r.f for r in got} == want
 
 
 def test_warc_round_trip(spark):
