@@ -294,7 +294,10 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tupl
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(most)
     # the sample's rows are bounded by ``most``, so they may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    # one id may have any number of texts and repeated rows: those of least hash are taken, each once
+    last = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["doc_id", "text", "quality", "toxic"])
     got = rows.select("doc_id", "text", "quality", "toxic").toPandas().sort_values(["doc_id", "text", "quality", "toxic"])
     return got.text.tolist(), got.quality.to_numpy(float), got.toxic.to_numpy(float)
 

@@ -360,6 +360,37 @@ def test_scores_are_sums_of_tables():
     assert np.allclose(one, x)
 
 
+def test_cuts_are_brute_force():
+    rng = np.random.default_rng(3)
+    score = lambda g, h: g.sum() ** 2 / (h.sum() + 1.0)
+    for _ in range(60):
+        n, m = rng.integers(2, 9, 2)
+        g, h = rng.normal(size=n), rng.random(n)
+        parts = [(0, int(n))]
+        for leaves in (2, 3, 4):  # best first: the cut that gains most in any part, if it gains at all
+            cuts = [(score(g[a:k], h[a:k]) + score(g[k:b], h[k:b]) - score(g[a:b], h[a:b]), a, k, b) for a, b in parts for k in range(a + 1, b)]
+            gain, a, k, b = max(cuts, default=(0, 0, 0, 0))
+            if gain > 1e-12:
+                parts = sorted({*parts} - {(a, b)} | {(a, k), (k, b)})
+            want = np.concatenate([np.full(b - a, -g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in parts])
+            assert np.allclose(quality._tree(g, h, leaves), want)
+        g, h = rng.normal(size=(n, m)), rng.random((n, m))
+        quads = lambda a, b: [(slice(0, a), slice(0, b)), (slice(0, a), slice(b, m)), (slice(a, n), slice(0, b)), (slice(a, n), slice(b, m))]  # noqa: B023, E731
+        gain, a, b = max((sum(score(g[q], h[q]) for q in quads(a, b)) - score(g, h), a, b) for a in range(1, n) for b in range(1, m))
+        got, values = quality._quad(g, h)
+        assert np.isclose(got, gain) and all(np.allclose(values[q], -g[q].sum() / (h[q].sum() + 1)) for q in quads(a, b))
+
+
+def test_sample_is_bounded(spark):
+    """One labelled id with any number of rows and texts gives no more than asked for."""
+    docs = spark.createDataFrame([(1, "same")] * 300 + [(1, f"text {i}") for i in range(300)] + [(2, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    texts, q, t = quality.labelled(docs, labels, most=20)
+    assert len(texts) == len(set(texts)) == 20 and len(q) == len(t) == 20
+    assert sorted(quality.labelled(docs, labels)[0]) == sorted({"same", "x", *(f"text {i}" for i in range(300))})
+    assert quality.labelled(docs, labels.limit(0))[0] == []
+
+
 def test_quality_edges(spark):
     texts, q, t = corpus(60, 4)
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(100 + i, x) for i, x in enumerate(ODD)] + [(None, "x y"), (1, texts[1])], "doc_id long, text string").withColumn("quality", F.lit("clash")).withColumn("toxic", F.lit(None).cast("int"))
