@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators import smallgraph
 from strataspark.operators.resolve import package_name
-from strataspark.plans.tables import cut, first
+from strataspark.plans.tables import cut
 
 
 LOCAL_EDGES = 20_000
@@ -155,26 +155,35 @@ def longest_chains(edges: DataFrame, local: int | None = None) -> DataFrame:
     few = _in_memory(edges, local)
     if few is not None:
         return edges.sparkSession.createDataFrame([(n, k, m) for n, (k, m) in smallgraph.longest(few).items()], "node string, length int, next string")
-    e = cut(edges.groupBy("src", "dst").agg((F.min("ord") if "ord" in edges.columns else F.lit(0)).alias("ord")), "chains")
-    # what uses nothing has chains of 1; what then uses nothing that is left, of 2; and so on
-    left, open_, best, k = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "chains"), e, None, 1
-    while not left.isEmpty():
-        ends = cut(left.join(open_.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("length")), "chains")
-        if ends.isEmpty():
-            break
-        best = ends if best is None else best.union(ends)
-        left = cut(left.join(ends, "node", "left_anti"), "chains")
-        open_ = cut(open_.join(ends.select(F.col("node").alias("dst")), "dst", "left_anti"), "chains")
-        k += 1
+    e = cut(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg((F.min("ord") if "ord" in edges.columns else F.lit(0)).alias("ord")), "chains")
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    # what uses nothing has chains of 1; what uses only that, of 2; and so on
+    best, _ = _peeled(nodes, e.select(F.col("src").alias("node"), F.col("dst").alias("on")), "length")
+    left = cut(nodes.join(best, "node", "left_anti"), "chains")
     if not left.isEmpty():  # these lie on cycles or lead to them
         e = cut(acyclic(e), "dag")
-        best = _relaxed(e, left if best is None else best.select("node").union(left), best)
-    if best is None:
-        return left.select("node", F.lit(1).alias("length"), F.lit(None).cast("string").alias("next"))
+        best = _relaxed(e, best.select("node").union(left), best)
     after = e.join(best.select(F.col("node").alias("dst"), "length"), "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("length")).alias("l"), "ord", "dst")).alias("m"))
     return best.join(after, "node", "left").select("node", "length", F.col("m.dst").alias("next"))
 
 
+def _peeled(nodes: DataFrame, waits: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(node, round) of the nodes that are free of cycles below, and the last round: in round 1 those that wait ``on`` nothing, then those that wait
+    only on nodes of earlier rounds. A round counts what it sets free and writes one table, of the nodes it touched."""
+    waits = cut(waits.distinct(), "waits")
+    need = cut(waits.groupBy("node").agg(F.count(F.lit(1)).alias("need")), "need")
+    front = cut(nodes.join(need, "node", "left_anti").select("node"), "front")
+    out, k, held = front.select("node", F.lit(1).alias(name)), 1, None
+    while not front.isEmpty():
+        met = waits.join(front.select(F.col("node").alias("on")), "on").groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(need, "node").select("node", "met", "need")
+        met = met if held is None else met.union(held)
+        k += 1
+        now = cut(met.groupBy("node", "need").agg(F.sum("met").alias("met")).select("node", "met", "need"), "met")
+        front, held = now.where("met = need").select("node"), now.where("met < need")
+        out = out.union(front.select("node", F.lit(k).alias(name)))
+    return out, k - 1
+
+
 def _relaxed(e: DataFrame, nodes: DataFrame, known: DataFrame | None) -> DataFrame:
     """(node, length) of the longest chains of an acyclic graph: rounds relax the predecessors of nodes whose chains grew."""
     best = nodes.select("node", F.lit(1).alias("length")) if known is None else nodes.join(known, "node", "left").select("node", F.coalesce("length", F.lit(1)).alias("length"))
@@ -218,16 +227,8 @@ def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> Data
     some = nodes.select("node").distinct().limit(LOCAL_EDGES + 1).collect() if few is not None else []
     if few is not None and len(some) <= LOCAL_EDGES:
         return edges.sparkSession.createDataFrame(smallgraph.layers([r.node for r in some], few), "level int, node string")
-    left = cut(nodes.select("node").distinct(), "layer")
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct().join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "layer")
-    out, level = None, 1
-    while not left.isEmpty():
-        free = left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        if free.isEmpty():
-            free = left
-        now = cut(free.select(F.lit(level).alias("level"), "node"), "layer")
-        out = now if out is None else out.union(now)
-        left = cut(left.join(now, "node", "left_anti"), "layer")
-        e = cut(e.join(now.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "layer")
-        level += 1
-    return out if out is not None else nodes.select(F.lit(1).alias("level"), "node").limit(0)
+    own = cut(nodes.select("node").distinct(), "layer")
+    e = edges.select("src", "dst").where("src <> dst").distinct().join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi")
+    out, last = _peeled(own, e.select(F.col("dst").alias("node"), F.col("src").alias("on")), "level")
+    rest = own.join(out, "node", "left_anti").select(F.lit(last + 1).alias("level"), "node")
+    return out.select("level", "node").union(rest)
