@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import Words, alpha_table, lower_table, mix, powers, slices
+from .textvec import alpha_table, lower_table, mix, powers, release, slices, Words
 
 TRAIN_ROWS, BINS, LEAVES, ROUNDS, RATE, PAIRS, PAIR_BINS, LEXICON_LEAST = 12000, 48, 4, 60, 0.15, 8, 12, 4
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -311,6 +311,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
             good, toxic = model.scores(b.column(1).to_pylist())
             keep = (good >= model.quality_at) & (toxic < model.toxic_at)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good), pa.array(toxic), pa.array(keep)], names=["doc_id", "quality", "toxic", "keep"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, quality double, toxic double, keep boolean")
 
