@@ -95,7 +95,9 @@ def code_files(t: Tables, language: str) -> DataFrame:
     body = lines.select("l_partkey", "l_suppkey", text.alias("line")).groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", "line"))), lambda x: x["line"]).alias("lines"))
     broken = F.when(F.col("p_type") == "PROMO", F.lit("(\n")).otherwise(F.lit(""))
     content = F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n"), _filled(tail, "p", "p_partkey"), broken)
-    return t.part.join(body.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey").select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit("." + ext)).alias("path"), F.lit(language).alias("language"), F.lit(False).alias("is_support"), content.alias("content"))
+    out = t.part.join(body.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey").select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit("." + ext)).alias("path"), F.lit(language).alias("language"), F.lit(False).alias("is_support"), content.alias("content"))
+    # parsing is the work, and few bytes are a lot of it: a number of partitions that isn't revised by their size
+    return out.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def code_sql(language: str) -> str:
