@@ -88,8 +88,8 @@ def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_
 
     ``cache``: a folder for parse results by content, where files that are as they were aren't parsed again.
     """
-    names = files.listing(root, config)
-    if len(names) <= FEW_FILES:
+    names = files.listing(root, config) if files.local(root) is not None else None
+    if names is not None and len(names) <= FEW_FILES:
         spark = light_session(spark)
         previous_rules = previous_rules and spark.createDataFrame(previous_rules.collect(), previous_rules.schema)
     catalogue = files.discover(spark, root, config, names)
@@ -98,7 +98,8 @@ def scan_project(spark: SparkSession, root: str, config: Config = Config(), use_
     known = incremental.refresh(catalogue, f"{cache}/parsers-{PARSERS}", f"scan-{uuid.uuid4().hex[:12]}").drop("hash") if cache else None
     out = analyse(
         catalogue, config, commits, diffs, previous_rules=previous_rules, manual=rules.manual_rules(spark, f"{root}/.strata/rules.yml"),
-        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)), parsed=known, languages={EXTENSIONS[n[n.rindex("."):].lower()] for n in names},
+        go_module=project.go_module(root), aliases=project.aliases(root), config_signals=signals.from_config(spark, project.config_texts(root)), parsed=known,
+        languages=None if names is None else {EXTENSIONS[n[n.rindex("."):].lower()] for n in names},
     )
     if strict_ast:
         extract.assert_ast(out["parsed"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataspark.config import EXTENSIONS, Config
 from strataspark.functions import paths
+from strataspark.plans.tables import cut
 
 FILES = "path string, language string, ext string, is_support boolean, content string"
 
@@ -59,39 +60,75 @@ def catalogue(raw: DataFrame, config: Config = Config(), ignored: tuple[str, ...
 
 
 def listing(root: str, config: Config = Config()) -> list[str]:
-    """Paths of source files relative to ``root``. Excluded directories aren't entered.
+    """Paths of source files below a mounted folder, relative to it. Excluded directories aren't entered.
 
     Spark's own listing leaves out names that begin with an underscore, such as ``__init__.py``.
     """
-    names = tuple(e for e, lang in EXTENSIONS.items() if lang in config.languages)
-    skip = {p for p in config.exclude if "/" not in p and "*" not in p}
-    where = local(root)
-    if where is None:
-        system, base = fs.FileSystem.from_uri(root)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True))
-        rel = [f.path[len(base) :].lstrip("/") for f in found if f.type == fs.FileType.File and f.path.endswith(names)]
-        return sorted(p for p in rel if not skip & {*p.split("/")[:-1]})
-    out = []
+    names, skip = _wanted(config)
+    where, out = local(root), []
     for folder, dirs, files in os.walk(where):
         dirs[:] = sorted(d for d in dirs if d not in skip and d[0] != ".")
         out += [os.path.relpath(os.path.join(folder, f), where) for f in files if f.lower().endswith(names) and f[0] != "."]
     return sorted(out)
 
 
+def _wanted(config: Config) -> tuple[tuple[str, ...], set[str]]:
+    """Extensions of the languages, and names of directories that aren't entered."""
+    return tuple(e for e, lang in EXTENSIONS.items() if lang in config.languages), {p for p in config.exclude if "/" not in p and "*" not in p}
+
+
+def walked(spark: SparkSession, root: str, config: Config = Config(), directories_per_task: int = 64) -> DataFrame:
+    """(path) of the source files below any folder, as :func:`listing` gives them: executors list the directories of a level side by side, and no
+    list of paths passes through the driver."""
+    names, skip = _wanted(config)
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
+                rows = [(f"{folder}/{f.base_name}".lstrip("/"), f.type == fs.FileType.Directory) for f in found if f.base_name[0] != "."]
+                rows = [(p, d) for p, d in rows if (p.rsplit("/", 1)[-1] not in skip if d else p.lower().endswith(names))]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.bool_())], names=["path", "is_directory"])
+
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        now = cut(level.mapInArrow(children, "path string, is_directory boolean"), "listing")
+        own = now.where("not is_directory").select("path")
+        out = own if out is None else out.union(own)
+        n = now.where("is_directory").count()
+        if not n:
+            return out
+        level = now.where("is_directory").select("path").repartition(-(-n // directories_per_task), "path")
+
+
 def local(path: str) -> str | None:
     url = urlparse(path)
     return url.path if url.scheme == "file" else path if not url.scheme else None
 
 
-def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+def opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there; object stores go by Hadoop's names too."""
     where = local(root)
-    system, base = (fs.LocalFileSystem(), where) if where is not None else fs.FileSystem.from_uri(root)
+    if where is not None:
+        return fs.LocalFileSystem(), where.rstrip("/")
+    scheme, _, rest = root.partition("://")
+    try:
+        system, base = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}")
+    except pa.ArrowInvalid:  # Arrow has no client of its own
+        url = urlparse(root)
+        system, base = fs.HadoopFileSystem(f"{url.scheme}://{url.netloc}", 0), url.path
+    return system, base.rstrip("/")
+
+
+def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    system, base = opened(root)
     for b in batches:
         for s in range(0, b.num_rows, 64):
             names, texts = b.column(0).slice(s, 64).to_pylist(), []
             for name in names:
                 try:
-                    with system.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                    with system.open_input_stream(f"{base}/{name}") as f:
                         texts.append(f.read().decode("utf-8", "replace"))
                 except OSError:  # gone or unreadable: null, dropped later
                     texts.append(None)
@@ -99,10 +136,15 @@ def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Recor
 
 
 def discover(spark: SparkSession, root: str, config: Config = Config(), names: list[str] | None = None, files_per_task: int = 512) -> DataFrame:
-    """Source files below ``root``: names are listed on the driver, contents read by the executors; unreadable files are dropped."""
-    names = listing(root, config) if names is None else names
-    tasks = max(1, -(-len(names) // files_per_task))
-    raw = spark.createDataFrame([(n,) for n in names], "path string").repartition(tasks, "path").mapInArrow(lambda it: _contents(it, root), "path string, content string")
+    """Source files below ``root``, their contents read by the executors; unreadable files are dropped. Names of a mounted folder are listed on the
+    driver (or given), others by :func:`walked`."""
+    if names is None and local(root) is None:
+        paths_ = walked(spark, root, config)
+        paths_ = paths_.repartition(max(1, -(-paths_.count() // files_per_task)), "path")
+    else:
+        names = listing(root, config) if names is None else names
+        paths_ = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, -(-len(names) // files_per_task)), "path")
+    raw = paths_.mapInArrow(lambda it: _contents(it, root), "path string, content string")
     where = local(root)
     listed = Path(where) / ".gitignore" if where is not None else None
     return catalogue(raw, config, tuple(listed.read_text().splitlines()) if listed and listed.exists() else ())

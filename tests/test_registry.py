@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from strataspark.operators import resolve, rules
 from strataspark.plans import queries
+from strataspark.sources import files
 from strataspark.plans.tables import cut, light_session, ordinal
 
 DATA = "/root/testdata/sf0.001"
@@ -66,3 +67,14 @@ def test_light_session_leaves_the_shared_one_alone(spark):
     assert cut(df, "x").collect() == df.collect() and cut(df, "x").schema == df.schema
     assert {k: spark.conf.get(k) for k in before} == before and light.conf.get("spark.sql.shuffle.partitions") == "2"
     assert [r.ordinal for r in ordinal(spark.range(7).select((F.col("id") % 2).alias("m"), "id"), ["m"], ["id"]).orderBy("m", "id").collect()] == list(range(1, 8))
+
+
+def test_executors_list_what_the_driver_lists(spark, tmp_path):
+    for name in ("a.py", "__init__.py", "sub/deep/er/b.TS", "sub/c.txt", ".hidden/d.py", "sub/.e.py", "node_modules/x/f.js", "sub/build/g.js", "sub/none/"):
+        p = tmp_path / name
+        (p if name.endswith("/") else p.parent).mkdir(parents=True, exist_ok=True)
+        if not name.endswith("/"):
+            p.write_text("x")
+    got = sorted(r.path for r in files.walked(spark, f"file://{tmp_path}", directories_per_task=1).collect())
+    assert got == files.listing(str(tmp_path)) == ["__init__.py", "a.py", "sub/deep/er/b.TS"]
+    assert files.walked(spark, f"file://{tmp_path}/sub/none").count() == 0 and files.opened("s3a://bucket/x?region=eu-west-1")[1] == "bucket/x"
