@@ -2,7 +2,8 @@
 
 Files are keyed three ways (whole path, path without extension, directory of an index-like file), and an import asks
 for a few keys, so that no list of extensions is multiplied out. Of several matches the one of least rank wins, then
-the least path, which stands for the order of discovery.
+the least path, which stands for the order of discovery. What an import leads to depends on its source and, where it is
+relative, on the directory of its file, so that each such request is answered once, however many files make it.
 
 Deviations, for determinism: "the first file" is the least path; of Python directories without ``__init__`` one
 below another is left out where a whole path segment agrees.
@@ -22,6 +23,11 @@ JS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs")
 GROUP = {"typescript": "js", "javascript": "js", "python": "py", "rust": "rs", "java": "java", "go": "go"}
 
 
+#: What an answer depends on; ``dir`` is empty where the directory doesn't matter.
+REQUEST = ["dir", "language", "is_relative", "source"]
+_FROM_DIRECTORY = ("typescript", "javascript", "python", "rust")
+
+
 def package_name(source: Column | str) -> Column:
     """Package of an import: two segments for a scope, else one."""
     s = paths.col(source)
@@ -55,7 +61,7 @@ def _joined(*parts: Column) -> Column:
 
 def _relative_keys() -> Column:
     """Keys that a relative import asks for, in order."""
-    directory, source = paths.dirname("path"), F.col("source")
+    directory, source = F.col("dir"), F.col("source")
     raw = paths.join(directory, source)
     js = F.array(raw, F.regexp_replace(raw, r"\.[mc]?js$", ""))
     dots = F.length(F.regexp_extract(source, r"^(\.+)", 1))
@@ -78,17 +84,17 @@ def _relative_keys() -> Column:
 
 
 def _match(asked: DataFrame, keys: DataFrame) -> DataFrame:
-    """(path, ord, rank, target): the matches of asked keys (path, ord, grp, base, key)."""
+    """(*REQUEST, rank, target): the matches of asked keys (*REQUEST, grp, base, key)."""
     js = F.col("grp") == "js"
     # JavaScript tries all extensions of all bases before index files; the others finish one base first.
     # Bare names of other languages need their extension, so only JavaScript may name a file whole.
     rank = F.when(js, F.col("kind") * 1000 + F.col("base") * 100 + F.col("ext_rank")).otherwise(F.col("base") * 1000 + F.col("kind") * 100)
     fits = ~(js & (F.col("kind") == 0) & (F.col("base") > 0))
-    return asked.join(keys, ["grp", "key"]).where(fits).select("path", "ord", rank.cast("int").alias("rank"), "target")
+    return asked.join(keys, ["grp", "key"]).where(fits).select(*REQUEST, rank.cast("int").alias("rank"), "target")
 
 
-def _asked(imports: DataFrame, keys: Column, shift: int = 0) -> DataFrame:
-    out = imports.select("path", "ord", group_of("language").alias("grp"), F.posexplode(keys).alias("base", "key"))
+def _asked(requests: DataFrame, keys: Column, shift: int = 0) -> DataFrame:
+    out = requests.select(*REQUEST, group_of("language").alias("grp"), F.posexplode(keys).alias("base", "key"))
     return out.where("key is not null").withColumn("base", F.col("base") + shift)
 
 
@@ -117,37 +123,52 @@ def java_roots(files: DataFrame) -> DataFrame:
 
 
 def _containing(wanted: DataFrame, files: DataFrame, java_only: bool) -> DataFrame:
-    """(path, ord, target): files whose path contains ``part``.
+    """``wanted`` with ``target`` in place of ``part``: the least file whose path contains ``part``; without those that no file contains.
 
-    All joins are on equality. Three segments or more join on an inner segment, which such a file must have whole. Of two segments the second is
-    the beginning of one of the file's, and one segment lies within one: these join on up to three characters of a segment, its first
-    ones or any run, and what meets is compared.
+    All joins are on equality. A path contains what one of its beginnings ends in. Of three segments or more the last but one is a whole segment,
+    so that these join to beginnings on the last two segments, and of two segments on the last; beginnings that files share are looked at once. One
+    segment lies within one of the file's: it joins on up to three characters, any run of a segment, and what meets is compared.
     """
     pool = files.where(F.col("path").endswith(".java")) if java_only else files
     pool = pool.select(F.col("path").alias("target"))
-    parts = wanted.select("part", F.split("part", "/").alias("s")).distinct()
-    long = parts.where(F.size("s") >= 3).select("part", F.element_at("s", 2).alias("seg"))
-    seg = pool.select("target", F.explode(F.array_distinct(F.split("target", "/"))).alias("seg"))
-    hits = long.join(seg, "seg").where(F.col("target").contains(F.col("part"))).select("part", "target")
+    parts = wanted.select("part").distinct().withColumn("n", F.size(F.split("part", "/")))
+    heads = pool.where(F.length("target") > 0).select("target", F.explode(F.expr("transform(sequence(1, length(target)), i -> substring(target, 1, i))")).alias("head"))
+    heads = heads.where(F.col("head").contains("/")).groupBy("head").agg(F.min("target").alias("target"))
+    last = lambda c, n: F.substring_index(c, "/", -n).alias("key")
+    ends = lambda asked, n: asked.select("part", last("part", n)).join(heads.select("head", "target", last("head", n)), "key").where(F.col("head").endswith(F.col("part"))).select("part", "target")
+    hits = ends(parts.where("n >= 3"), 2).union(ends(parts.where("n = 2"), 1))
     runs = lambda begin: F.array(*[F.substring(F.col("seg"), begin, F.lit(n)) for n in range(4)])
-    key = lambda c: F.substring(c, 1, 3).alias("key")
-    heads = seg.select("target", F.explode(F.array_distinct(runs(F.lit(1)))).alias("key"))
-    hits = hits.union(parts.where(F.size("s") == 2).select("part", key(F.element_at("s", 2))).join(heads, "key").where(F.col("target").contains(F.col("part"))).select("part", "target"))
-    first = seg.groupBy("seg").agg(F.min("target").alias("target"))
+    first = pool.select("target", F.explode(F.array_distinct(F.split("target", "/"))).alias("seg")).groupBy("seg").agg(F.min("target").alias("target"))
     anywhere = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("seg"), F.lit(1))), runs))
     within = first.select("seg", "target", F.explode(F.array_distinct(anywhere)).alias("key"))
-    hits = hits.union(parts.where(F.size("s") == 1).select("part", key(F.col("part"))).join(within, "key").where(F.col("seg").contains(F.col("part"))).select("part", "target"))
-    return wanted.join(hits.groupBy("part").agg(F.min("target").alias("target")), "part").select("path", "ord", "target")
+    hits = hits.union(parts.where("n = 1").select("part", F.substring("part", 1, 3).alias("key")).join(within, "key").where(F.col("seg").contains(F.col("part"))).select("part", "target"))
+    return wanted.join(hits.groupBy("part").agg(F.min("target").alias("target")), "part").drop("part")
+
+
+def request(directory: Column, language: Column | str, is_relative: Column | str, source: Column | str) -> list[Column]:
+    """The columns ``REQUEST`` of an import of a file in ``directory``."""
+    language, is_relative = paths.col(language), paths.col(is_relative)
+    near = is_relative & language.isin(*_FROM_DIRECTORY)
+    return [F.when(near, directory).otherwise("").alias("dir"), language.alias("language"), is_relative.alias("is_relative"), paths.col(source).alias("source")]
 
 
 def resolved(imports: DataFrame, files: DataFrame, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), resolve_absolute: bool = False, languages: Collection[str] = tuple(GROUP)) -> DataFrame:
-    """``imports`` with ``target``: relative resolution first, then the project index for imports that aren't relative.
+    """``imports`` with ``target``, by :func:`answers`."""
+    asked = request(paths.dirname("path"), "language", "is_relative", "source")
+    found = answers(imports.select(*asked), files, go_module, aliases, resolve_absolute, languages)
+    return imports.withColumn("dir", asked[0]).join(found, REQUEST, "left").select(*imports.columns, "target")
+
+
+def answers(requests: DataFrame, files: DataFrame, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), resolve_absolute: bool = False, languages: Collection[str] = tuple(GROUP)) -> DataFrame:
+    """(*REQUEST, target) of the requests that lead to a file, one row each: relative resolution first, then the project index for imports that
+    aren't relative.
 
     ``languages``: the ones that occur, where it is known that others don't; their steps stay out of the plan.
     """
+    imports = requests.select(*REQUEST).distinct()
     keys = file_keys(files)
     absolute = ~F.col("is_relative") | (F.lit(resolve_absolute) & (F.col("language") == "go"))
-    relative = imports.where(F.col("is_relative") & F.col("language").isin("typescript", "javascript", "python", "rust"))
+    relative = imports.where(F.col("is_relative") & F.col("language").isin(*_FROM_DIRECTORY))
     found = [_match(_asked(relative, _relative_keys()), keys)]
 
     if "python" in languages:
@@ -169,27 +190,26 @@ def resolved(imports: DataFrame, files: DataFrame, go_module: str = "", aliases:
 
     if "java" in languages:
         java = imports.where(F.col("language") == "java").withColumn("part", F.regexp_replace("source", r"\.", "/"))
-        near = _containing(java.where("is_relative"), files, False).select("path", "ord", F.lit(0).alias("rank"), "target")
+        near = _containing(java.where("is_relative"), files, False).select(*REQUEST, F.lit(0).alias("rank"), "target")
         far = java.where(~F.col("is_relative"))
-        heads = far.select("path", "ord", "source", F.explode(F.array_distinct(F.array(F.substring_index("source", ".", 1), F.substring_index("source", ".", 2)))).alias("package"))
-        exact = heads.join(java_roots(files), "package").select("path", "ord", F.concat("root", F.lit("/"), F.regexp_replace(F.expr("substring(source, length(package) + 2)"), r"\.", "/"), F.lit(".java")).alias("target"))
-        exact = exact.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("path", "ord", F.lit(0).alias("rank"), "target")
-        found += [near, exact, _containing(far, files, True).select("path", "ord", F.lit(1).alias("rank"), "target")]
+        heads = far.select(*REQUEST, F.explode(F.array_distinct(F.array(F.substring_index("source", ".", 1), F.substring_index("source", ".", 2)))).alias("package"))
+        exact = heads.join(java_roots(files), "package").select(*REQUEST, F.concat("root", F.lit("/"), F.regexp_replace(F.expr("substring(source, length(package) + 2)"), r"\.", "/"), F.lit(".java")).alias("target"))
+        exact = exact.join(files.select(F.col("path").alias("target")), "target", "left_semi").select(*REQUEST, F.lit(0).alias("rank"), "target")
+        found += [near, exact, _containing(far, files, True).select(*REQUEST, F.lit(1).alias("rank"), "target")]
 
     if go_module and "go" in languages:
         go = imports.where(absolute & (F.col("language") == "go") & F.col("source").startswith(go_module))
-        go = go.select("path", "ord", F.regexp_replace(F.regexp_replace("source", "^" + re.escape(go_module), ""), "^/", "").alias("dir")).where("dir <> ''")
+        go = go.select(*REQUEST, F.regexp_replace(F.regexp_replace("source", "^" + re.escape(go_module), ""), "^/", "").alias("below")).where("below <> ''")
         own = files.where(F.col("path").endswith(".go")).select(F.col("path").alias("target"), paths.dirname("path").alias("d"))
         parts = F.split("d", "/")
-        tree = own.select("target", "d", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("dir"))
-        tree = tree.groupBy("dir").agg(F.min(F.struct((F.col("d") != F.col("dir")).cast("int").alias("rank"), "target")).alias("m"))
-        found.append(go.join(tree, "dir").select("path", "ord", F.col("m.rank").alias("rank"), F.col("m.target").alias("target")))
+        tree = own.select("target", "d", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("below"))
+        tree = tree.groupBy("below").agg(F.min(F.struct((F.col("d") != F.col("below")).cast("int").alias("rank"), "target")).alias("m"))
+        found.append(go.join(tree, "below").select(*REQUEST, F.col("m.rank").alias("rank"), F.col("m.target").alias("target")))
 
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    best = hits.groupBy("path", "ord").agg(F.min(F.struct("rank", "target")).alias("m")).select("path", "ord", F.col("m.target").alias("target"))
-    return imports.join(best, ["path", "ord"], "left")
+    return hits.groupBy(*REQUEST).agg(F.min(F.struct("rank", "target")).alias("m")).select(*REQUEST, F.col("m.target").alias("target"))
 
 
 def resolve_first(wanted: DataFrame, candidates: Column, keys: DataFrame, key: str, by: list[str]) -> DataFrame:
