@@ -1,6 +1,5 @@
 """Steps whose work must grow no faster than their input, and their results."""
 
-import random
 from pathlib import Path
 
 import duckdb
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators import resolve
 from strataspark.plans import queries
+from strataspark.sources import extract
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,3 +37,18 @@ def test_imports_of_one_directory_are_answered_once(spark):
 
 def test_resolve_typescript_is_its_sql(spark):
     same_as_sql(spark, "resolve_typescript")
+
+
+@pytest.mark.parametrize("language", ["rust"])
+def test_files_are_parsed_once(spark, language):
+    if not Path(DATA).exists():
+        pytest.skip("no tables")
+    plan = queries.QUERIES[f"code_{language}"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    same_as_sql(spark, f"code_{language}")
+
+
+def test_batches_of_more_than_a_slice(spark):
+    rows = [(f"f{i}.ts", "typescript", False, None if i % 7 == 0 else f"import {{ a{i} }} from './b{i}'\n" * (i % 3)) for i in range(1201)]
+    got = extract.parsed(spark.createDataFrame(rows, "path string, language string, is_support boolean, content string").coalesce(1)).collect()
+    assert [(r.path, [(x.source, x.specifiers, x.line) for x in r.imports], r.exports) for r in got] == [(f"f{i}.ts", [(f"./b{i}", [f"a{i}"], n + 1) for n in range(i % 3 if i % 7 else 0)], []) for i in range(1201)]
