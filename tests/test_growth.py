@@ -39,7 +39,7 @@ def test_resolve_typescript_is_its_sql(spark):
     same_as_sql(spark, "resolve_typescript")
 
 
-@pytest.mark.parametrize("language", ["rust", "java", "go", "typescript"])
+@pytest.mark.parametrize("language", ["rust", "java", "go", "typescript", "python"])
 def test_files_are_parsed_once(spark, language):
     if not Path(DATA).exists():
         pytest.skip("no tables")
