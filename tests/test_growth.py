@@ -1,5 +1,6 @@
 """Steps whose work must grow no faster than their input, and their results."""
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -35,7 +36,7 @@ def test_imports_of_one_directory_are_answered_once(spark):
     assert got == {(p, s): {"./x": "src/a/x.ts", "../b/y": "src/b/y.tsx", "@/b/y": "src/b/y.tsx"}.get(s) for p, _, _, s, _ in rows}
 
 
-@pytest.mark.parametrize("language", ["typescript", "python", "rust"])
+@pytest.mark.parametrize("language", ["typescript", "python", "rust", "java"])
 def test_resolution_asks_by_directory(spark, language):
     """Import sources are exploded before customers are joined only for nations and suppliers: the last step is one explode of arrays."""
     if not Path(DATA).exists():
@@ -67,3 +68,15 @@ def test_parse_methods_need_no_statements(spark, monkeypatch):
     assert {r.path: r.parse_method for r in extract.methods(files).collect()} == want
     monkeypatch.setattr(parsers, "READERS", dict.fromkeys(parsers.READERS))
     assert [parsers.parse_method(x, l) for l, x in texts] == list(want.values())
+
+
+def test_containing_is_brute_force_on_random_paths(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))
+    files = sorted({"/".join(word() for _ in range(rng.randrange(1, 6))) + rng.choice([".java", ""]) for _ in range(150)})
+    parts = sorted({"/".join(word() for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "/"]) for _ in range(150)})
+    wanted = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, part string")
+    for java in (True, False):
+        pool = [x for x in files if x.endswith(".java") or not java]
+        want = {i: min(x for x in pool if p in x) for i, p in enumerate(parts) if any(p in x for x in pool)}
+        assert {r.i: r.target for r in resolve._containing(wanted, spark.createDataFrame([(x,) for x in files], "path string"), java).collect()} == want
