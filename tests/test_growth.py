@@ -36,7 +36,7 @@ def test_imports_of_one_directory_are_answered_once(spark):
     assert got == {(p, s): {"./x": "src/a/x.ts", "../b/y": "src/b/y.tsx", "@/b/y": "src/b/y.tsx"}.get(s) for p, _, _, s, _ in rows}
 
 
-@pytest.mark.parametrize("language", ["typescript", "python", "rust", "java"])
+@pytest.mark.parametrize("language", ["typescript", "python", "rust", "java", "go"])
 def test_resolution_asks_by_directory(spark, language):
     """Import sources are exploded before customers are joined only for nations and suppliers: the last step is one explode of arrays."""
     if not Path(DATA).exists():
