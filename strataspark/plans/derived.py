@@ -13,7 +13,7 @@ The driver tables hold no source code and no history, so that other things stand
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -169,7 +169,13 @@ sig AS (
 
 def metrics(t: Tables) -> DataFrame:
     """Metrics of parts as files: dependents are orders, impact is suppliers, frequency the share of lines sent back, tests are even sizes."""
-    m = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").cast("int").alias("fan_in"), F.countDistinct("l_suppkey").cast("int").alias("transitive_impact"), (F.count(F.when(F.col("l_returnflag") == "R", 1)) / F.count(F.lit(1))).alias("change_frequency"))
+    # one shuffle of keys; the distinct orders and suppliers of a part are then counted where it lies, as changes in their order
+    rows = t.lineitem.select("l_partkey", "l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("back"))
+    for c in ("l_orderkey", "l_suppkey"):
+        before = F.lag(c).over(Window.partitionBy("l_partkey").orderBy(c))
+        rows = rows.withColumn(f"{c}_new", F.col(c).isNotNull() & ~F.col(c).eqNullSafe(before)).drop(c)
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    m = rows.groupBy("l_partkey").agg(n("l_orderkey_new").cast("int").alias("fan_in"), n("l_suppkey_new").cast("int").alias("transitive_impact"), (n("back") / F.count(F.lit(1))).alias("change_frequency"))
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_type", "p_name")
     return m.join(p, "l_partkey").select(F.concat(F.lower("p_type"), F.lit("/api/"), F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("file"), "fan_in", "transitive_impact", "change_frequency", (F.col("p_type") == "PROMO").alias("on_critical_path"), (F.col("p_size") % 2 == 0).alias("has_tests"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.operators import resolve
-from strataspark.plans import queries
+from strataspark.plans import derived, queries
 from strataspark.sources import extract, parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -80,3 +80,13 @@ def test_containing_is_brute_force_on_random_paths(spark):
         pool = [x for x in files if x.endswith(".java") or not java]
         want = {i: min(x for x in pool if p in x) for i, p in enumerate(parts) if any(p in x for x in pool)}
         assert {r.i: r.target for r in resolve._containing(wanted, spark.createDataFrame([(x,) for x in files], "path string"), java).collect()} == want
+
+
+def test_metrics_count_distinct_keys_in_one_shuffle(spark, tmp_path):
+    lines = [(1, 10, 5, "R"), (1, 10, 5, "N"), (1, 11, 5, "R"), (1, None, 6, "N"), (2, None, None, "N"), (2, 12, 7, None)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 2, "PROMO", "a b"), (2, 1, "SMALL", "c d"), (3, 1, "SMALL", "e")], "p_partkey long, p_size int, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    m = derived.metrics(derived.Tables(spark, str(tmp_path)))
+    assert {r.file: (r.fan_in, r.transitive_impact, r.change_frequency) for r in m.collect()} == {"promo/api/a_b_1.py": (2, 2, 0.5), "small/api/c_d_2.py": (1, 1, 0.0)}
+    assert "Expand" not in m._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, "file_risk")
