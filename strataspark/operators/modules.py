@@ -44,11 +44,12 @@ def module_deps(members: DataFrame, edges: DataFrame, imports: DataFrame, resolv
 
     In parity mode only files with a relative import count; ``resolve_absolute`` counts all.
     """
-    used = edges.select("src", "dst")
-    if not resolve_absolute:
-        used = used.join(imports.where("is_relative").select(F.col("path").alias("src")).distinct(), "src", "left_semi")
     a, b = members.select(F.col("path").alias("src"), "module"), members.select(F.col("path").alias("dst"), F.col("module").alias("dep"))
-    return used.join(a, "src").join(b, "dst").where("module <> dep").select("module", "dep").distinct()
+    if not resolve_absolute:
+        a = a.join(imports.where("is_relative").select(F.col("path").alias("src")).distinct(), "src", "left_semi")
+    # what a module uses is far less than what its files do
+    used = edges.select("src", "dst").join(a, "src").select("module", "dst").distinct()
+    return used.join(b, "dst").where("module <> dep").select("module", "dep").distinct()
 
 
 def external_deps(members: DataFrame, imports: DataFrame) -> DataFrame:

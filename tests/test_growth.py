@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataspark.operators import resolve
+from strataspark.operators import modules, resolve
 from strataspark.plans import derived, queries
 from strataspark.sources import extract, parsers
 
@@ -90,3 +90,14 @@ def test_metrics_count_distinct_keys_in_one_shuffle(spark, tmp_path):
     assert {r.file: (r.fan_in, r.transitive_impact, r.change_frequency) for r in m.collect()} == {"promo/api/a_b_1.py": (2, 2, 0.5), "small/api/c_d_2.py": (1, 1, 0.0)}
     assert "Expand" not in m._jdf.queryExecution().optimizedPlan().toString()
     same_as_sql(spark, "file_risk")
+
+
+def test_modules_of_edges_are_reduced_before_their_targets_are_looked_up(spark):
+    members = spark.createDataFrame([("A", "a.py"), ("A", "b.py"), ("B", "c.py"), ("C", "d.py")], "module string, path string")
+    edges = spark.createDataFrame([("a.py", "c.py"), ("a.py", "c.py"), ("b.py", "c.py"), ("a.py", "b.py"), ("d.py", "a.py"), ("b.py", "none.py")], "src string, dst string")
+    imports = spark.createDataFrame([("a.py", True), ("a.py", True), ("b.py", True), ("d.py", False)], "path string, is_relative boolean")
+    found = modules.module_deps(members, edges, imports)
+    assert found.collect() == [("A", "B")]
+    assert sorted(modules.module_deps(members, edges, imports, True).collect()) == [("A", "B"), ("C", "A")]
+    assert "Aggregate [module" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[2]
+    same_as_sql(spark, "module_deps")
