@@ -101,3 +101,10 @@ def test_modules_of_edges_are_reduced_before_their_targets_are_looked_up(spark):
     assert sorted(modules.module_deps(members, edges, imports, True).collect()) == [("A", "B"), ("C", "A")]
     assert "Aggregate [module" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[2]
     same_as_sql(spark, "module_deps")
+
+
+def test_hot_files_without_multiplied_lines(spark):
+    if not Path(DATA).exists():
+        pytest.skip("no tables")
+    assert "Expand" not in queries.QUERIES["hot_files"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, "hot_files")
