@@ -51,11 +51,15 @@ def light_session(spark: SparkSession) -> SparkSession:
     return out
 
 
+def light(spark: SparkSession) -> bool:
+    return spark.conf.get("strata.light", "false") == "true"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once: written below the shared folder and read back, or, in a light session, held as a local relation, which is
     what its few rows come to."""
     spark = df.sparkSession
-    if spark.conf.get("strata.light", "false") == "true":
+    if light(spark):
         return spark.createDataFrame(df.toArrow(), df.schema)
     path = f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataspark.operators import modules, resolve
+from strataspark.operators import graph, modules, resolve
 from strataspark.plans import derived, queries
 from strataspark.sources import extract, parsers
 
@@ -108,3 +108,42 @@ def test_hot_files_without_multiplied_lines(spark):
         pytest.skip("no tables")
     assert "Expand" not in queries.QUERIES["hot_files"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     same_as_sql(spark, "hot_files")
+
+
+def counted(spark, rows, schema):
+    """A table that tells how many rows were computed of it, all times together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, schema)
+    return df.mapInArrow(passed, df.schema), seen
+
+
+#: Wide and shallow, with a pair twice, a circle, a node that uses itself, and nodes that lead to these.
+WIDE = [(f"p{i}", f"s{i * k % 7}") for i in range(40) for k in (1, 2, 3)] + [(f"s{i}", f"n{i % 3}") for i in range(7)] + [("n0", "r"), ("n1", "r"), ("n2", "r"), ("p1", "s1"), ("q", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "p3"), ("x", "x"), ("y", "r"), ("z", "y")]
+RUNS = {
+    "critical_paths": lambda e: graph.critical_paths(e, 12, 2),
+    "longest_chains": graph.longest_chains,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_edges_are_computed_once(spark, monkeypatch, name):
+    few = sorted(map(str, RUNS[name](spark.createDataFrame(WIDE, "src string, dst string")).collect()))
+    monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+    for chosen in (WIDE, [x for x in WIDE if x[0][0] in "psnyz"], [x for x in WIDE if x[0][0] == "n"]):  # with and without circles, wide at either end
+        e, seen = counted(spark, chosen, "src string, dst string")
+        got = sorted(map(str, RUNS[name](e).collect()))
+        assert seen.value == len(chosen)
+        if chosen is WIDE:
+            assert got == few
+
+
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length"])
+def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+    same_as_sql(spark, name)
