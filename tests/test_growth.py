@@ -143,7 +143,7 @@ def test_edges_are_computed_once(spark, monkeypatch, name):
             assert got == few
 
 
-@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length"])
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths"])
 def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
     same_as_sql(spark, name)
