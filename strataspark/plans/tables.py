@@ -55,6 +55,16 @@ def light(spark: SparkSession) -> bool:
     return spark.conf.get("strata.light", "false") == "true"
 
 
+#: Rows that are given to a task to sort or to hold.
+SHARE = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by its keys in as many partitions as its number of rows asks for, so that a task's memory doesn't grow with the input where the
+    session's number of partitions doesn't."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SHARE)), *keys)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once: written below the shared folder and read back, or, in a light session, held as a local relation, which is
     what its few rows come to."""

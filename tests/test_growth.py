@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.operators import graph, modules, resolve
-from strataspark.plans import derived, queries
+from strataspark.plans import derived, queries, tables
 from strataspark.sources import extract, parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -128,6 +128,7 @@ WIDE = [(f"p{i}", f"s{i * k % 7}") for i in range(40) for k in (1, 2, 3)] + [(f"
 RUNS = {
     "critical_paths": lambda e: graph.critical_paths(e, 12, 2),
     "longest_chains": graph.longest_chains,
+    "transitive_impact": graph.transitive_impact,
 }
 
 
@@ -143,7 +144,8 @@ def test_edges_are_computed_once(spark, monkeypatch, name):
             assert got == few
 
 
-@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths"])
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact"])
 def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+    monkeypatch.setattr(tables, "SHARE", 500)
     same_as_sql(spark, name)
