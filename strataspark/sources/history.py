@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataspark.plans.tables import spread
+
 
 def _git(root: str, *args: str) -> str | None:
     try:
@@ -36,12 +38,16 @@ def parse_log(lines: DataFrame, prefix: str = "", by: str | None = None) -> Data
     """``commit_files(hash, path)``: a line of 40 hex digits begins a commit, ``added TAB removed TAB path`` names a
     file; renames and paths outside ``prefix`` are dropped, and the prefix is taken off.
 
-    ``by``: a column, such as the log's name, within which lines are in order; a log is read in one piece then. Without it the one log is
+    ``by``: a column, such as the log's name, within which lines are in order; a log is read in one piece then, logs lie in as many partitions as
+    their lines ask for, and each file of a commit has one row of the log's, with the column. Without it the one log is
     read in stretches of ``STRETCH`` lines, and a stretch that begins within a commit takes it from those before, of which one row each is looked at.
     """
     s = F.trim("line")
     rows = lines.select("*", F.when(s.rlike("^[0-9a-f]{40}$"), s).alias("h"), F.regexp_extract(s, r"^[0-9]+\t[0-9]+\t(\S.*)$", 1).alias("p"))
-    rows = rows.withColumn("__part", F.floor(F.col("ord") / STRETCH))
+    if by:
+        rows = spread(rows.select(by, "ord", "h", "p").where("h is not null or p <> ''"), lines.count(), by)
+    else:
+        rows = rows.withColumn("__part", F.floor(F.col("ord") / STRETCH))
     local = Window.partitionBy(by or "__part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("hash", F.last("h", ignorenulls=True).over(local))
     if not by:
@@ -53,7 +59,8 @@ def parse_log(lines: DataFrame, prefix: str = "", by: str | None = None) -> Data
     if prefix:
         rows = rows.where(path.startswith(prefix))
         path = F.substring(path, len(prefix) + 1, 1 << 30)
-    return rows.select("hash", path.alias("path"))
+    rows = rows.select(*[by] * bool(by), "hash", path.alias("path"))
+    return rows.distinct() if by else rows
 
 
 def commit_files(spark: SparkSession, root: str, most: int = 1000) -> DataFrame | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators import graph, modules, resolve
 from strataspark.plans import derived, queries, tables
-from strataspark.sources import extract, parsers
+from strataspark.sources import extract, history, parsers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -144,8 +144,17 @@ def test_edges_are_computed_once(spark, monkeypatch, name):
             assert got == few
 
 
-@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact"])
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact", "parse_log"])
 def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
     monkeypatch.setattr(tables, "SHARE", 500)
     same_as_sql(spark, name)
+
+
+def test_logs_lie_in_as_many_partitions_as_their_lines_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SHARE", 50)
+    rows = [(k, i, x) for k in range(100) for i, x in enumerate([f"{k:040x}", "1\t2\tapp/a.py", "", "1\t2\tapp/a.py", "1\t2\tout.py", "no"])]
+    got = history.parse_log(spark.createDataFrame(rows, "k int, ord int, line string"), "app/", by="k")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(got.select("hash", "path").collect()) == [(f"{k:040x}", "a.py") for k in range(100)]
+    assert got.rdd.getNumPartitions() == 12
