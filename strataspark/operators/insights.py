@@ -80,13 +80,14 @@ def circular(cycles: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return _rows(rows, 7, "circular-dependency", F.when(F.col("length") >= 3, "critical").otherwise("warning"), "component", F.format_string("%d files depend on one another in a circle: %s", "length", "way"), "Move what they share elsewhere, or turn one dependency round.", ["length", "files"], "component")
 
 
-def dead_modules(risks: DataFrame, edges: DataFrame) -> DataFrame:
-    rows = risks.where((F.col("fan_in") == 0) & ~paths.is_entry_point("file") & ~paths.is_test("file") & ~paths.is_script("file")).join(graph.fan_out(edges).withColumnRenamed("node", "file"), "file", "left").fillna(0, ["fan_out"]).where("fan_out <= 1")
+def dead_modules(risks: DataFrame, edges: DataFrame, single: bool = False) -> DataFrame:
+    """``single`` as in :func:`graph.fan_out`."""
+    rows = risks.where((F.col("fan_in") == 0) & ~paths.is_entry_point("file") & ~paths.is_test("file") & ~paths.is_script("file")).join(graph.fan_out(edges, single).withColumnRenamed("node", "file"), "file", "left").fillna(0, ["fan_out"]).where("fan_out <= 1")
     return _rows(rows, 8, "dead-module", "info", "file", F.format_string("Nothing uses %s, and it uses %d file(s).", "file", "fan_out"), "Look for uses that imports don't show; else remove it.", ["fan_out"], "file", order=by_score())
 
 
-def hubs(risks: DataFrame, edges: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    rows = risks.where(F.col("fan_in") >= t.hub[0]).join(graph.fan_out(edges).withColumnRenamed("node", "file").where(F.col("fan_out") >= t.hub[1]), "file")
+def hubs(risks: DataFrame, edges: DataFrame, t: Thresholds = Thresholds(), single: bool = False) -> DataFrame:
+    rows = risks.where(F.col("fan_in") >= t.hub[0]).join(graph.fan_out(edges, single).withColumnRenamed("node", "file").where(F.col("fan_out") >= t.hub[1]), "file")
     return _rows(rows, 9, "hub-file", "warning", "file", F.format_string("%s carries %d files and itself rests on %d.", "file", "fan_in", "fan_out"), "Separate what others use from what uses others.", ["fan_in", "fan_out"], "file", order=by_score())
 
 

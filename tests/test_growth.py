@@ -144,13 +144,22 @@ def test_edges_are_computed_once(spark, monkeypatch, name):
             assert got == few
 
 
-@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact", "parse_log"])
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact", "parse_log", "ins_dead_module", "ins_hub"])
 def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
     monkeypatch.setattr(tables, "SHARE", 500)
     same_as_sql(spark, name)
 
 
+def test_dead_modules_compute_edges_once(spark, monkeypatch):
+    e, seen = counted(spark, sorted(set(WIDE)), "src string, dst string")
+    monkeypatch.setattr(derived, "edges", lambda t: e)
+    got = queries.QUERIES["ins_dead_module"](spark, DATA)
+    assert {r.id for r in got.collect()} == {f"dead-module:{x}" for x in ("p0", "p7", "p14", "p21", "p28", "p35", "q", "z")}
+    assert seen.value == len(set(WIDE))
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString() and got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+
+
 def test_logs_lie_in_as_many_partitions_as_their_lines_ask_for(spark, monkeypatch):
     monkeypatch.setattr(tables, "SHARE", 50)
     rows = [(k, i, x) for k in range(100) for i, x in enumerate([f"{k:040x}", "1\t2\tapp/a.py", "", "1\t2\tapp/a.py", "1\t2\tout.py", "no"])]
