@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions import paths
+from strataspark.plans.tables import cut
 
 SOURCE = r"\.(go|java|jsx?|php|py|rb|rs|tsx?)$"
 
@@ -21,11 +22,18 @@ def pairs(commit_files: DataFrame, bulk: int = 20, source: str | None = SOURCE)
     The files of a commit are gathered once and paired from that array: one shuffle, where a self-join takes two,
     and an array has ``bulk`` entries at most, since larger commits are dropped before.
     """
-    own = commit_files.select("hash", "path").distinct()
-    if source:
-        own = own.where(F.col("path").rlike(source))
-    sets = own.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("files")).where(F.col("n").between(2, bulk))
-    a = sets.select("hash", "files", F.posexplode("files").alias("i", "file_a"))
+    own = commit_files.select("hash", "path")
+    return _paired(sets(own.where(F.col("path").rlike(source)) if source else own), bulk)
+
+
+def sets(commit_files: DataFrame) -> DataFrame:
+    """(hash, files): each file of a commit once."""
+    return commit_files.groupBy("hash").agg(F.collect_set("path").alias("files"))
+
+
+def _paired(sets: DataFrame, bulk: int) -> DataFrame:
+    a = sets.where(F.size("files").between(2, bulk)).select("hash", F.array_sort("files").alias("files"))
+    a = a.select("hash", "files", F.posexplode("files").alias("i", "file_a"))
     both = a.select("hash", "file_a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("file_b"))
     apart = (paths.dirname("file_a") != paths.dirname("file_b")) | (paths.extension("file_a") != paths.extension("file_b"))
     return both.where(apart)
@@ -38,11 +46,13 @@ def least_support(commits: int) -> int:
 def contracts(commit_files: DataFrame, confidence: float = 0.7, most: int | None = 50, bulk: int = 20, least_commits: int = 10, source: str | None = SOURCE) -> DataFrame:
     """(file_a, file_b, occurrences, confidence): pairs with enough support whose Jaccard similarity reaches
     ``confidence``, the ``most`` best (None: all). With fewer than ``least_commits`` commits there are none."""
-    total = commit_files.agg(F.countDistinct("hash").alias("commits"))
+    commits = cut(sets(commit_files), "commits")  # read three times: for their number, for those of each file, and for pairs
+    total = commits.agg(F.count("hash").alias("commits"))
+    own = commits.select("hash", F.filter("files", lambda x: x.rlike(source)).alias("files")) if source else commits
     support = F.when(F.col("commits") < 50, 2).when(F.col("commits") < 200, 3).otherwise(5)
-    n = pairs(commit_files, bulk, source).groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("occurrences"))
+    n = _paired(own, bulk).groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("occurrences"))
     n = n.crossJoin(F.broadcast(total)).where((F.col("occurrences") >= support) & (F.col("commits") >= least_commits)).drop("commits")
-    counts = file_counts(commit_files)
+    counts = commits.select(F.explode("files").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
     n = n.join(counts.select(F.col("path").alias("file_a"), F.col("commits").alias("ca")), "file_a").join(counts.select(F.col("path").alias("file_b"), F.col("commits").alias("cb")), "file_b")
     out = n.select("file_a", "file_b", "occurrences", (F.col("occurrences") / (F.col("ca") + F.col("cb") - F.col("occurrences"))).alias("confidence")).where(F.col("confidence") >= confidence)
     return out if most is None else out.orderBy(F.desc("confidence"), "file_a", "file_b").limit(most)

@@ -81,7 +81,8 @@ def _part_file():
 
 
 def commit_files(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", _part_file().alias("path")), "p_partkey").select(F.col("l_orderkey").cast("string").alias("hash"), "path").distinct()
+    rows = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", _part_file().alias("path")), "p_partkey").select(F.col("l_orderkey").cast("string").alias("hash"), "path")
+    return rows.repartition("hash").distinct()  # what is gathered by commit later lies together
 
 
 COMMITS = """commit_files AS (

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataspark.operators import graph, modules, resolve
+from strataspark.operators import cochange, graph, modules, resolve
 from strataspark.plans import derived, queries, tables
 from strataspark.sources import extract, history, parsers
 
@@ -145,7 +145,7 @@ def test_edges_are_computed_once(spark, monkeypatch, name):
             assert got == few
 
 
-@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact", "parse_log", "ins_dead_module", "ins_hub", "topo_layers"])
+@pytest.mark.parametrize("name", ["ins_long_chain", "longest_chain_length", "critical_paths", "transitive_impact", "parse_log", "ins_dead_module", "ins_hub", "topo_layers", "ins_hidden_coupling", "co_change_contracts"])
 def test_mended_queries_are_as_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
     monkeypatch.setattr(tables, "SHARE", 500)
@@ -161,6 +161,14 @@ def test_dead_modules_compute_edges_once(spark, monkeypatch):
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString() and got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
 
 
+def test_contracts_gather_commits_once(spark):
+    log = [(f"h{i}", p) for i in range(60) for p in ("a/x.py", "b/y.py", "b/y.py", "c/z.txt", *[f"d/{i % 4}.py"] * (i % 2))]
+    commits, seen = counted(spark, log, "hash string, path string")
+    got = {(r.file_a, r.file_b): (r.occurrences, round(r.confidence, 4)) for r in cochange.contracts(commits, 0.2).collect()}
+    assert got == {("a/x.py", "b/y.py"): (60, 1.0), ("a/x.py", "d/1.py"): (15, 0.25), ("a/x.py", "d/3.py"): (15, 0.25), ("b/y.py", "d/1.py"): (15, 0.25), ("b/y.py", "d/3.py"): (15, 0.25)}
+    assert seen.value == len(log)
+
+
 def test_logs_lie_in_as_many_partitions_as_their_lines_ask_for(spark, monkeypatch):
     monkeypatch.setattr(tables, "SHARE", 50)
     rows = [(k, i, x) for k in range(100) for i, x in enumerate([f"{k:040x}", "1\t2\tapp/a.py", "", "1\t2\tapp/a.py", "1\t2\tout.py", "no"])]
