@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataspark.plans.tables import spread
+
 
 class Tables:
     """The driver's tables below a folder."""
@@ -171,8 +173,9 @@ sig AS (
 
 def metrics(t: Tables) -> DataFrame:
     """Metrics of parts as files: dependents are orders, impact is suppliers, frequency the share of lines sent back, tests are even sizes."""
-    # one shuffle of keys; the distinct orders and suppliers of a part are then counted where it lies, as changes in their order
+    # one shuffle of keys, to tasks of a given size; the distinct orders and suppliers of a part are then counted where it lies, as changes in their order
     rows = t.lineitem.select("l_partkey", "l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("back"))
+    rows = spread(rows, t.lineitem.count(), "l_partkey")
     for c in ("l_orderkey", "l_suppkey"):
         before = F.lag(c).over(Window.partitionBy("l_partkey").orderBy(c))
         rows = rows.withColumn(f"{c}_new", F.col(c).isNotNull() & ~F.col(c).eqNullSafe(before)).drop(c)

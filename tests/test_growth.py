@@ -151,6 +151,19 @@ def test_hot_files_without_multiplied_lines(spark):
     same_as_sql(spark, "hot_files")
 
 
+@pytest.mark.parametrize("name", ["hot_files", "file_risk", "insights_dedup"])
+def test_metrics_are_computed_once_in_tasks_of_a_given_size(spark, monkeypatch, name):
+    if not Path(DATA).exists():
+        pytest.skip("no tables")
+    monkeypatch.setattr(tables, "SHARE", 500)
+    t = derived.Tables(spark, DATA)
+    plan = derived.metrics(t)._jdf.queryExecution().executedPlan().toString()
+    shares = -(-t.lineitem.count() // 500)
+    assert [x for x in plan.splitlines() if "hashpartitioning(l_partkey" in x and f", {shares}), REPARTITION_BY_NUM" in x] and shares > 4
+    assert "Window" not in queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, name)
+
+
 def counted(spark, rows, schema):
     """A table that tells how many rows were computed of it, all times together."""
     seen = spark.sparkContext.accumulator(0)
