@@ -87,7 +87,7 @@ top AS (SELECT node, k FROM l WHERE node NOT IN (SELECT dst FROM e) AND k >= 3 O
 walk(leaf, node, files, k) AS (SELECT node, node, node, k FROM top UNION ALL SELECT leaf, nxt.dst, files || ' > ' || nxt.dst, k FROM walk JOIN nxt ON src = node)
 SELECT files, CAST(k AS INTEGER) AS length, node AS root_file, leaf AS leaf_file FROM walk WHERE node NOT IN (SELECT src FROM nxt)""")
 def critical_paths(t: Tables) -> DataFrame:
-    return graph.critical_paths(d.edges(t)).withColumn("files", F.array_join("files", " > "))
+    return graph.critical_paths(d.links(t), name=d.node_name).withColumn("files", F.array_join("files", " > "))
 
 
 # -- modules

@@ -13,7 +13,7 @@ The driver tables hold no source code and no history, so that other things stand
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.plans.tables import spread
@@ -36,7 +36,8 @@ def _id(prefix: str, column: str):
 def edges(t: Tables) -> DataFrame:
     """(src, dst, weight)."""
     # a part's edges are made in one place: what is counted by part later is reduced before it is shuffled
-    part = t.lineitem.select("l_partkey", "l_suppkey").repartition("l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).select(_id("part/", "l_partkey").alias("src"), _id("supplier/", "l_suppkey").alias("dst"), F.col("n").cast("long").alias("weight"))
+    lines = spread(t.lineitem.select("l_partkey", "l_suppkey"), t.lineitem.count(), "l_partkey")
+    part = lines.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).select(_id("part/", "l_partkey").alias("src"), _id("supplier/", "l_suppkey").alias("dst"), F.col("n").cast("long").alias("weight"))
     one = F.lit(1).cast("long")
     sup = t.supplier.select(_id("supplier/", "s_suppkey"), _id("nation/", "s_nationkey"), one)
     cus = t.customer.select(_id("customer/", "c_custkey"), _id("nation/", "c_nationkey"), one)
@@ -44,6 +45,25 @@ def edges(t: Tables) -> DataFrame:
     return part.union(sup).union(cus).union(nat)
 
 
+KINDS_OF_NODES = ("part/", "supplier/", "customer/", "nation/", "region/")
+
+
+def links(t: Tables) -> DataFrame:
+    """(src, dst) of ``edges``, each as often as lines tell of it: for what asks only whether there is one, without a shuffle. Nodes are kinds and keys, see ``node_name``."""
+    node = lambda prefix, key: F.when(F.col(key).isNotNull(), F.struct(F.lit(KINDS_OF_NODES.index(prefix)).cast("byte").alias("kind"), F.col(key).cast("long").alias("key")))
+    out = t.lineitem.select(node("part/", "l_partkey").alias("src"), node("supplier/", "l_suppkey").alias("dst"))
+    out = out.union(t.supplier.select(node("supplier/", "s_suppkey"), node("nation/", "s_nationkey"))).union(t.customer.select(node("customer/", "c_custkey"), node("nation/", "c_nationkey")))
+    return out.union(t.nation.select(node("nation/", "n_nationkey"), node("region/", "n_regionkey")))
+
+
+def node_name(node: Column) -> Column:
+    return F.concat(F.get(F.array(*map(F.lit, KINDS_OF_NODES)), node["kind"].cast("int")), node["key"].cast("string"))
+
+
+def named_links(t: Tables) -> DataFrame:
+    return links(t).select(*[node_name(F.col(c)).alias(c) for c in ("src", "dst")])
+
+
 EDGES = """edges AS (
   SELECT 'part/' || l_partkey AS src, 'supplier/' || l_suppkey AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey, 1 FROM supplier

@@ -230,3 +230,34 @@ def test_logs_lie_in_as_many_partitions_as_their_lines_ask_for(spark, monkeypatc
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted(got.select("hash", "path").collect()) == [(f"{k:040x}", "a.py") for k in range(100)]
     assert got.rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("inner", [0, 10**6])
+def test_only_edges_between_used_nodes_take_part_in_the_rounds(spark, monkeypatch, inner):
+    """Whether these are walked in loops or in memory, and whatever edges hold for nodes."""
+    rng = random.Random(5)
+    pairs = [(a, b) for a in range(30) for b in range(30) if rng.random() < 0.04] + [(40 + i, rng.randrange(30)) for i in range(90)] + [(40, 1), (40, 1), (None, 3), (3, None)]
+    coded = spark.createDataFrame([(a if a is None else (a,), b if b is None else (b,)) for a, b in pairs], "src struct<key: int>, dst struct<key: int>")
+    name = lambda node: F.concat(F.lit("n"), node["key"].cast("string"))
+    named = coded.select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
+    want = sorted(map(str, graph.critical_paths(named, 50, 2).collect())), sorted(map(str, graph.longest_chains(named).collect()))
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 1)
+    monkeypatch.setattr(graph, "INNER", inner)
+    seen, peeled = [], graph._peeled
+    monkeypatch.setattr(graph, "_peeled", lambda nodes, waits, what: seen.append(waits.count()) or peeled(nodes, waits, what))
+    assert sorted(map(str, graph.critical_paths(coded, 50, 2, name).collect())) == want[0] and len(want[0]) == 50
+    assert sorted(map(str, graph.longest_chains(named).collect())) == want[1]
+    whole = [(a, b) for a, b in pairs if None not in (a, b)]
+    assert seen == ([] if inner else [sum(a in {b for _, b in whole} for a, _ in whole)] * 2)
+    assert graph.critical_paths(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")).collect() == []
+
+
+def test_links_of_lines_are_not_shuffled(spark, monkeypatch):
+    if not Path(DATA).exists():
+        pytest.skip("no tables")
+    t = derived.Tables(spark, DATA)
+    assert "Exchange" not in derived.links(t)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(derived.named_links(t).distinct().collect()) == sorted(derived.edges(t).select("src", "dst").collect())
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 500)
+    for name in ("critical_paths", "ins_long_chain", "longest_chain_length"):
+        same_as_sql(spark, name)
